@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Transitions and texts that a worker remembers before it starts anew; both only bound memory.
-MOST_TRANSITIONS, MOST_PIECES = 300_000, 300_000
+#: Transitions that a worker remembers before it starts anew, and pieces in each of two generations; both only bound memory.
+MOST_TRANSITIONS, MOST_PIECES = 300_000, 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -186,15 +186,18 @@ class Codec:
         for token, rank in ranks.items():
             self.vocabulary[rank] = token
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def piece(self, piece: str) -> bytes:
-        data = piece.encode("utf-8")
-        whole = self.transducer.ranks.get(data)
-        ids = [whole] if whole is not None else self.transducer.encode(data)
-        if len(self.known) >= MOST_PIECES:
-            self.known.clear()
-        packed = array("I", ids).tobytes()
-        if len(data) < 64:
+        packed = self.older.get(piece)
+        if packed is None:
+            data = piece.encode("utf-8")
+            whole = self.transducer.ranks.get(data)
+            packed = array("I", [whole] if whole is not None else self.transducer.encode(data)).tobytes()
+        if len(piece) < 64:
+            if len(self.known) >= MOST_PIECES:
+                self.older = dict(self.known)
+                self.known.clear()
             self.known[piece] = packed
         return packed
 
