@@ -12,7 +12,7 @@ from umbra.llm.words import word_count
 from umbra.shared import stash
 
 #: Words in a block, and documents that a shard holds on average at most.
-BLOCK_WORDS, SHARD_DOCS = 128, 65536
+BLOCK_WORDS, SHARD_DOCS = 128, 4096
 
 
 def _draw(*parts: Column) -> Column:
