@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from umbra.llm.bpe import encode_documents
 from umbra.llm.exact import exact_dedup
 from umbra.llm.mixing import mix_sources
+from umbra.llm.simhash import simhash_components
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +31,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(_documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_mixing": op3_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {
