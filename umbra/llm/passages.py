@@ -5,7 +5,7 @@ Both look for windows (of words or of bytes) whose content also starts elsewhere
 1. Every document names *anchors*, positions chosen so that equal windows share an equal anchor at an equal offset.
 2. Anchors whose hash occurs once are dropped; most text ends here.
 3. Around each anchor left, a *segment* holds all windows that the anchor stands for. Equal segments fold into one
-   with a weight, and only one of each is looked into.
+   with a weight, and where an anchor has segments that differ, one of each is looked into.
 4. The windows found to repeat are marked in all occurrences of their segments, and documents drop what marked
    windows cover.
 
@@ -64,15 +64,16 @@ class Rolling:
         return out * BASES[1]
 
 
-def witnesses(keys: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each row goes, and whether its key is known to repeat: of equal keys the first keeps its place."""
+def witnesses(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each row's key came before in this batch, and whether it is known to repeat."""
     order = np.argsort(keys, kind="stable")
     ranked = keys[order]
+    same = ranked[1:] == ranked[:-1]
     again = np.zeros(len(keys), bool)
-    again[order[1:]] = ranked[1:] == ranked[:-1]
+    again[order[1:]] = same
     many = again.copy()
-    many[order[:-1]] |= ranked[1:] == ranked[:-1]
-    return np.where(again, salt * BASES[0] ^ salt >> np.uint64(17), keys), many
+    many[order[:-1]] |= same
+    return again, many
 
 
 def repeating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,10 +107,11 @@ def repeating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(rows: DataFrame) -> DataFrame:
-    """Payload of the rows (place, key, many, payload ...) whose key occurs more than once; distinct."""
+    """Payload of the rows (key, many, again, payload ...) whose key occurs more than once; some come twice."""
     payload = rows.columns[3:]
     kinds = dict(rows.dtypes)
-    dealt = rows.repartition("place").sortWithinPartitions("place", "key").drop("place")
+    place = F.when(F.col("again"), F.xxhash64(*payload)).otherwise(F.col("key"))
+    dealt = rows.repartition(place).sortWithinPartitions("key").drop("again")
     return dealt.mapInArrow(repeating, ", ".join(f"{c} {kinds[c]}" for c in payload))
 
 
@@ -124,9 +126,12 @@ def keyed_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def with_positions(docs: DataFrame, positions: DataFrame) -> DataFrame:
-    """Documents that have positions, with the list of them; the smaller side is hashed, texts are not sorted."""
-    return docs.join(positions.hint("shuffle_hash"), "dkey")
+def texts_with(source: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
+    """Documents joined with what is known of them. The side is hashed; texts are not sorted.
+
+    Every use takes all columns of the documents, so the plan deals the texts out once and reuses that.
+    """
+    return source.join(side.hint("shuffle_hash"), "dkey", how).select("doc_id", "dkey", "version", "text", *side.columns[1:])
 
 
 def removed_runs(covered: np.ndarray) -> int:
@@ -138,25 +143,33 @@ def remove_repeats(
     anchors: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     occurrences: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     look_into: Callable[[DataFrame, DataFrame], DataFrame],
+    whole: Column,
     apply: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     result: str,
     id_col: str,
     text_col: str,
     tag: str,
 ) -> DataFrame:
-    """The four steps; ``result`` is the schema that ``apply`` yields after doc_id."""
+    """The four steps; ``result`` is the schema that ``apply`` yields after doc_id, ``whole`` marks all n starts.
+
+    A segment whose anchor has no other variant repeats as a whole or, where its weight is 1, not at all; only
+    anchors with variants are looked into.
+    """
     source = keyed_documents(docs, id_col, text_col)
-    named = source.select("dkey", "text").mapInArrow(anchors, "place long, key long, many boolean, dkey long, pos int")
+    named = source.select("dkey", "text").mapInArrow(anchors, "key long, many boolean, again boolean, dkey long, pos int")
     left = stash(repeats(named), tag)
     positions = left.groupBy("dkey").agg(F.collect_set("pos").alias("positions"))
-    found = with_positions(source, positions).select("dkey", "version", "text", "positions")
-    segments = found.mapInArrow(occurrences, "s1 long, s2 long, akey long, dkey long, version long, pos int, lo int, n int")
+    segments = texts_with(source, positions).mapInArrow(
+        occurrences, "s1 long, s2 long, akey long, dkey long, version long, pos int, lo int, n int"
+    )
     folded = segments.groupBy("s1", "s2").agg(
         F.count(F.lit(1)).alias("weight"), *(F.first(c).alias(c) for c in ("akey", "dkey", "version", "pos", "lo", "n"))
     )
-    marks = look_into(source, folded)
+    variants = folded.groupBy("akey").agg(F.count(F.lit(1)).alias("variants"))
+    told = folded.join(variants, "akey")
+    settled = told.where("variants = 1 AND weight > 1").select("s1", "s2", whole.alias("marks"))
+    marks = look_into(source, told.where("variants > 1")).union(settled)
     marked: Column = F.struct("version", "lo", "marks")
     back = segments.select("s1", "s2", "dkey", "version", "lo").join(marks, ["s1", "s2"])
     back = back.groupBy("dkey").agg(F.collect_list(marked).alias("found"))
-    joined = source.join(back.hint("shuffle_hash"), "dkey", "left").select("doc_id", "version", "text", "found")
-    return joined.mapInArrow(apply, f"doc_id {dict(docs.dtypes)[id_col]}, {result}")
+    return texts_with(source, back, "left").mapInArrow(apply, f"doc_id {dict(docs.dtypes)[id_col]}, {result}")

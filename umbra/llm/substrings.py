@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm.hashing import word_hashes
-from umbra.llm.passages import BASES, Rolling, remove_repeats, repeats, witnesses
+from umbra.llm.passages import BASES, Rolling, remove_repeats, repeats, texts_with, witnesses
 
 #: Window in words; period and a difference cover of it: every residue is a difference of two of these.
 WINDOW, PERIOD, COVER = 35, 21, (0, 1, 4, 14, 16)
@@ -44,10 +44,10 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = np.concatenate(keys) if keys else np.empty(0, np.uint64)
         owner = np.concatenate(owners) if owners else np.empty(0, np.int64)
         at = np.concatenate(places) if places else np.empty(0, np.int64)
-        place, many = witnesses(key, owner.view(np.uint64) * BASES[1] + at.astype(np.uint64))
+        again, many = witnesses(key)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(place.view(np.int64)), pa.array(key.view(np.int64)), pa.array(many), pa.array(owner), pa.array(at.astype(np.int32))],
-            names=["place", "key", "many", "dkey", "pos"],
+            [pa.array(key.view(np.int64)), pa.array(many), pa.array(again), pa.array(owner), pa.array(at.astype(np.int32))],
+            names=["key", "many", "again", "dkey", "pos"],
         )
 
 
@@ -61,7 +61,7 @@ def _positions(values, n: int) -> np.ndarray:
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for dkey, version, text, found in zip(*(batch.column(i) for i in range(4)), strict=True):
+        for dkey, version, text, found in zip(*(batch.column(i) for i in range(1, 5)), strict=True):
             words = text.as_buffer().to_pybytes().split()
             n = len(words)
             at = _positions(found, n) if n >= WINDOW else np.empty(0, np.int64)
@@ -86,7 +86,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every window of the folded segments, keyed by its content and its offset from the anchor."""
     for batch in batches:
         keys, many, s1s, s2s, offsets = [], [], [], [], []
-        for text, version, folded in zip(*(batch.column(i) for i in range(3)), strict=True):
+        for version, text, folded in zip(*(batch.column(i) for i in range(2, 5)), strict=True):
             pieces = [p for p in folded.as_py() if p["version"] == version.as_py()]
             if not pieces:
                 continue
@@ -106,18 +106,17 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = np.empty(0, np.int64)
         join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else empty.astype(kind)
         key, heavy, s1, s2, offset = join(keys, np.uint64), join(many, bool), join(s1s, np.int64), join(s2s, np.int64), join(offsets, np.int32)
-        place, again = witnesses(key, s1.view(np.uint64) + offset.astype(np.uint64))
+        again, many = witnesses(key)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(place.view(np.int64)), pa.array(key.view(np.int64)), pa.array(heavy | again), pa.array(s1), pa.array(s2), pa.array(offset)],
-            names=["place", "key", "many", "s1", "s2", "off"],
+            [pa.array(key.view(np.int64)), pa.array(heavy | many), pa.array(again), pa.array(s1), pa.array(s2), pa.array(offset)],
+            names=["key", "many", "again", "s1", "s2", "off"],
         )
 
 
 def _look_into(source: DataFrame, folded: DataFrame) -> DataFrame:
     """s1, s2, marks: a bit for each start of the segment whose window repeats."""
     per_doc = folded.groupBy("dkey").agg(F.collect_list(F.struct("version", "s1", "s2", "weight", "pos", "lo", "n")).alias("folded"))
-    texts = source.join(per_doc.hint("shuffle_hash"), "dkey").select("text", "version", "folded")
-    windows = texts.mapInArrow(_windows, "place long, key long, many boolean, s1 long, s2 long, off int")
+    windows = texts_with(source, per_doc).mapInArrow(_windows, "key long, many boolean, again boolean, s1 long, s2 long, off int")
     hits = repeats(windows)
     return hits.groupBy("s1", "s2").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("marks"))
 
@@ -126,7 +125,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.arange(PERIOD, dtype=np.int64)
     for batch in batches:
         n_words, n_removed, digests = [], [], []
-        for version, text, found in zip(*(batch.column(i) for i in range(1, 4)), strict=True):
+        for version, text, found in zip(*(batch.column(i) for i in range(2, 5)), strict=True):
             words = text.as_buffer().to_pybytes().split()
             edges = np.zeros(len(words) + 1, np.int64)
             if found.is_valid:
@@ -162,5 +161,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty result.
     """
     return remove_repeats(
-        docs, _anchors, _occurrences, _look_into, _apply, "n_words long, n_removed long, kept_sha256 string", id_col, text_col, "substrings"
+        docs, _anchors, _occurrences, _look_into, F.expr("shiftleft(1L, n) - 1L"), _apply, "n_words long, n_removed long, kept_sha256 string", id_col, text_col, "substrings"
     )

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.passages import BASES, Rolling, remove_repeats, removed_runs, witnesses
+from umbra.llm.passages import BASES, Rolling, remove_repeats, removed_runs, texts_with, witnesses
 
 #: Window and anchor in bytes; windows of a text that are handled at once.
 WINDOW, GRAM, CHUNK = 200, 32, 1 << 22
@@ -60,17 +60,17 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = np.concatenate(keys) if keys else np.empty(0, np.uint64)
         owner = np.concatenate(owners) if owners else np.empty(0, np.int64)
         at = np.concatenate(places) if places else np.empty(0, np.int64)
-        place, many = witnesses(key, owner.view(np.uint64) * BASES[1] + at.astype(np.uint64))
+        again, many = witnesses(key)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(place.view(np.int64)), pa.array(key.view(np.int64)), pa.array(many), pa.array(owner), pa.array(at.astype(np.int32))],
-            names=["place", "key", "many", "dkey", "pos"],
+            [pa.array(key.view(np.int64)), pa.array(many), pa.array(again), pa.array(owner), pa.array(at.astype(np.int32))],
+            names=["key", "many", "again", "dkey", "pos"],
         )
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for dkey, version, text, found in zip(*(batch.column(i) for i in range(4)), strict=True):
+        for dkey, version, text, found in zip(*(batch.column(i) for i in range(1, 5)), strict=True):
             data = text.as_buffer().to_pybytes()
             if len(data) < WINDOW:
                 continue
@@ -96,7 +96,7 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["gkey", "s1", "s2", "weight", "start", "content"]
     for batch in batches:
         out: list[list] = [[] for _ in names]
-        for text, version, folded in zip(*(batch.column(i) for i in range(3)), strict=True):
+        for version, text, folded in zip(*(batch.column(i) for i in range(2, 5)), strict=True):
             data, roll = text.as_buffer().to_pybytes(), None
             for p in folded.as_py():
                 if p["version"] != version.as_py():
@@ -111,7 +111,7 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         common = roll(np.array([core]), np.array([core + WINDOW - FAMILY + 1])) + np.uint64(family & 0xFFFF) * BASES[1]
                         parts.append((int(common.view(np.int64)[0]), max(lo, core - FAMILY + 1), min(hi, core + 1)))
                 for gkey, a, b in parts:
-                    for column, value in zip(out, (gkey, p["s1"], p["s2"], p["weight"], a, data[a : b - 1 + WINDOW]), strict=True):
+                    for column, value in zip(out, (gkey, p["s1"], p["s2"], p["weight"], a - lo, data[a : b - 1 + WINDOW]), strict=True):
                         column.append(value)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
@@ -205,8 +205,14 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             marks = repeated_starts(texts[a:b], weight[a:b])
             some = [k for k, m in enumerate(marks) if m.any()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(s1[a:b][some]), pa.array(s2[a:b][some]), pa.array(start[a:b][some]), pa.array([np.packbits(marks[k]).tobytes() for k in some], pa.binary())],
-                names=["s1", "s2", "start", "bits"],
+                [
+                    pa.array(s1[a:b][some]),
+                    pa.array(s2[a:b][some]),
+                    pa.array(start[a:b][some]),
+                    pa.array([len(marks[k]) for k in some], pa.int32()),
+                    pa.array([np.packbits(marks[k]).tobytes() for k in some], pa.binary()),
+                ],
+                names=["s1", "s2", "start", "n", "bits"],
             )
             i = j
 
@@ -230,27 +236,25 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _look_into(source: DataFrame, folded: DataFrame) -> DataFrame:
-    """s1, s2, marks (start relative to the segment's document, and bits)."""
+    """s1, s2, marks: a bit for each of n starts from the segment's start plus shift."""
     crowded = folded.groupBy("akey").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > CROWD)
     told = folded.join(crowded, "akey", "left").withColumn("crowded", F.col("many").isNotNull())
     per_doc = told.groupBy("dkey").agg(F.collect_list(F.struct("version", "s1", "s2", "weight", "pos", "lo", "n", "akey", "crowded")).alias("folded"))
-    texts = source.join(per_doc.hint("shuffle_hash"), "dkey").select("text", "version", "folded")
-    contents = texts.mapInArrow(_contents, "gkey long, s1 long, s2 long, weight long, start int, content binary")
+    contents = texts_with(source, per_doc).mapInArrow(_contents, "gkey long, s1 long, s2 long, weight long, start int, content binary")
     sorted_rows = contents.repartition("gkey").sortWithinPartitions("gkey")
-    hits = sorted_rows.mapInArrow(_expand, "s1 long, s2 long, start int, bits binary")
-    origin = folded.select("s1", "s2", F.col("lo").alias("origin"))
-    return hits.join(origin, ["s1", "s2"]).select("s1", "s2", F.struct((F.col("start") - F.col("origin")).alias("shift"), "bits").alias("marks"))
+    hits = sorted_rows.mapInArrow(_expand, "s1 long, s2 long, start int, n int, bits binary")
+    return hits.select("s1", "s2", F.struct(F.col("start").alias("shift"), "n", "bits").alias("marks"))
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, removed, spans, digests = [], [], [], []
-        for version, text, found in zip(*(batch.column(i) for i in range(1, 4)), strict=True):
+        for version, text, found in zip(*(batch.column(i) for i in range(2, 5)), strict=True):
             data = text.as_buffer().to_pybytes()
             edges = np.zeros(len(data) + 1, np.int64)
             for f in found.as_py() or ():
                 if f["version"] == version.as_py():
-                    bits = np.flatnonzero(np.unpackbits(np.frombuffer(f["marks"]["bits"], np.uint8)))
+                    bits = np.flatnonzero(np.unpackbits(np.frombuffer(f["marks"]["bits"], np.uint8))[: f["marks"]["n"]])
                     start = f["lo"] + f["marks"]["shift"] + bits
                     np.add.at(edges, start, 1)
                     np.add.at(edges, start + WINDOW, -1)
@@ -277,4 +281,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text are further documents and remove each other. Null ids are allowed. An empty table gives an empty result.
     """
     schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return remove_repeats(docs, _anchors, _occurrences, _look_into, _apply, schema, id_col, text_col, "suffixes")
+    ones = F.unhex(F.repeat(F.lit("FF"), F.ceil(F.col("n") / 8).cast("int")))
+    whole = F.struct(F.lit(0).alias("shift"), F.col("n").alias("n"), ones.alias("bits"))
+    return remove_repeats(docs, _anchors, _occurrences, _look_into, whole, _apply, schema, id_col, text_col, "suffixes")
