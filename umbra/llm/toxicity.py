@@ -10,9 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that the label model and the classifier are fitted on at most (smallest digests of the ids), lexicon
+from umbra.shared import stash, within
+
+#: Labelled rows that the label model and the classifier are fitted on at most (a share of the ids by digest), lexicon
 #: entries that vote at most, and rows of labelled documents with an entry that it needs.
 MOST_TRAINING, MOST_VOTERS, LEAST_ROWS = 20_000, 384, 3
+#: Labels that are sent to every task (about 50 MB); more are joined by a shuffle.
+MOST_SENT = 2_000_000
 #: How often an entry is as frequent in toxic rows as in others, at least, to become a voter.
 LEAST_LIFT = 6.0
 #: Lengths (bytes) of the word beginnings that serve as stem patterns beside whole words.
@@ -136,8 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = labels.select(F.col(id_col).alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.where(may_train(F.col("label_id")) & F.col("toxic").isNotNull()).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    from umbra.shared import stash
-
+    marks = within(marks, MOST_SENT)
     training = stash(texts.join(marks, texts["doc_id"] == marks["label_id"]).select("doc_id", "text", "toxic"), "toxicity")
     place = {entry: i for i, entry in enumerate(_lexicon(training))}
     if not place:
@@ -148,7 +151,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             rows = [_features(entries(text or ""), place) for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column(1)], names=["found", "toxic"])
 
-    sample = training.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("text", "toxic")
+    rows = training.count()
+    share = F.lit(min(1.0, 0.95 * most / rows) * float(1 << 31))
+    sample = (training if rows <= most else training.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < share)).select("text", "toxic")
     table = sample.mapInArrow(read, "found array<int>, toxic int").toPandas()
     votes = _shape([list(r) for r in table["found"]], [], len(place))
     toxic = table["toxic"].to_numpy()
