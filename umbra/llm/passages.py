@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.shared import stash
+from umbra.shared import release, stash
 
 #: Odd bases of two polynomial hashes modulo 2**64 and their inverses.
 BASES = tuple(np.uint64(b) for b in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95))
@@ -121,7 +121,7 @@ def keyed_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63) + 1)).alias("dkey"),
-        F.xxhash64(text).alias("version"),
+        F.hash(text).alias("version"),
         F.encode(text, "utf-8").alias("text"),
     )
 
@@ -158,18 +158,19 @@ def remove_repeats(
     source = keyed_documents(docs, id_col, text_col)
     named = source.select("dkey", "text").mapInArrow(anchors, "key long, many boolean, again boolean, dkey long, pos int")
     left = stash(repeats(named), tag)
+    release(docs.sparkSession)
     positions = left.groupBy("dkey").agg(F.collect_set("pos").alias("positions"))
     segments = texts_with(source, positions).mapInArrow(
-        occurrences, "s1 long, s2 long, akey long, dkey long, version long, pos int, lo int, n int"
+        occurrences, "akey long, s1 long, dkey long, version int, pos int, lo int, n int"
     )
-    folded = segments.groupBy("s1", "s2").agg(
-        F.count(F.lit(1)).alias("weight"), *(F.first(c).alias(c) for c in ("akey", "dkey", "version", "pos", "lo", "n"))
+    folded = segments.groupBy("akey", "s1").agg(
+        F.count(F.lit(1)).alias("weight"), *(F.first(c).alias(c) for c in ("dkey", "version", "pos", "lo", "n"))
     )
     variants = folded.groupBy("akey").agg(F.count(F.lit(1)).alias("variants"))
     told = folded.join(variants, "akey")
-    settled = told.where("variants = 1 AND weight > 1").select("s1", "s2", whole.alias("marks"))
+    settled = told.where("variants = 1 AND weight > 1").select("akey", "s1", whole.alias("marks"))
     marks = look_into(source, told.where("variants > 1")).union(settled)
     marked: Column = F.struct("version", "lo", "marks")
-    back = segments.select("s1", "s2", "dkey", "version", "lo").join(marks, ["s1", "s2"])
+    back = segments.select("akey", "s1", "dkey", "version", "lo").join(marks, ["akey", "s1"])
     back = back.groupBy("dkey").agg(F.collect_list(marked).alias("found"))
     return texts_with(source, back, "left").mapInArrow(apply, f"doc_id {dict(docs.dtypes)[id_col]}, {result}")

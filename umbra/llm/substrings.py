@@ -17,6 +17,8 @@ from umbra.llm.passages import BASES, Rolling, remove_repeats, repeats, texts_wi
 WINDOW, PERIOD, COVER = 35, 21, (0, 1, 4, 14, 16)
 #: Words that an anchor hashes: what every window holds from its aligned cover position on.
 REACH = WINDOW - PERIOD + 1
+#: Different segments of one anchor that are compared in one task at most.
+CROWD = 20_000
 
 
 def _cover_positions(n: int) -> np.ndarray:
@@ -72,53 +74,112 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stop = hi + WINDOW
             shape = ((at - lo) * 64 + (hi - lo)).astype(np.uint64)
             s1 = roll(lo, stop) + shape * BASES[0]
-            s2 = roll(lo, stop, 1) + shape * BASES[1]
             same = np.full(len(at), 0, np.int64)
-            rows.append((s1.view(np.int64), s2.view(np.int64), roll(at, at + REACH).view(np.int64), same + dkey.as_py(), same + version.as_py(), at, lo, hi - lo + 1))
-        columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.empty(0, np.int64)] * 8
+            rows.append((roll(at, at + REACH, 1).view(np.int64), s1.view(np.int64), same + dkey.as_py(), same + version.as_py(), at, lo, hi - lo + 1))
+        columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.empty(0, np.int64)] * 7
         yield pa.RecordBatch.from_arrays(
-            [*(pa.array(c) for c in columns[:5]), *(pa.array(c.astype(np.int32)) for c in columns[5:])],
-            names=["s1", "s2", "akey", "dkey", "version", "pos", "lo", "n"],
+            [*(pa.array(c) for c in columns[:3]), *(pa.array(c.astype(np.int32)) for c in columns[3:])],
+            names=["akey", "s1", "dkey", "version", "pos", "lo", "n"],
         )
 
 
+def _window_keys(words: list[bytes], pieces: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key of every window of the segments (content and offset from the anchor), its start in the segment, its segment."""
+    roll = Rolling(word_hashes(words))
+    n = np.array([p["n"] for p in pieces])
+    lo = np.repeat(np.array([p["lo"] for p in pieces]), n)
+    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start = lo + offset
+    stands = (np.repeat(np.array([p["pos"] for p in pieces]), n) - start).astype(np.uint64)
+    keys = roll(start, start + WINDOW) ^ (roll(start, start + WINDOW, 1) + stands) * BASES[0]
+    return keys, offset, np.repeat(np.arange(len(pieces)), n)
+
+
+def _own(version, folded) -> list[dict]:
+    return [p for p in folded.as_py() if p["version"] == version.as_py()]
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each segment with its windows' keys."""
+    for batch in batches:
+        out: list[list] = [[], [], [], []]
+        for version, text, folded in zip(*(batch.column(i) for i in range(2, 5)), strict=True):
+            if pieces := _own(version, folded):
+                keys, _, _ = _window_keys(text.as_buffer().to_pybytes().split(), pieces)
+                at = 0
+                for p in pieces:
+                    row = (p["akey"], p["s1"], p["weight"], keys[at : at + p["n"]].tobytes())
+                    at += p["n"]
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["akey", "s1", "weight", "keys"])
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by anchor: which windows repeat among the segments of their anchor."""
+
+    def compare(rows: pa.RecordBatch) -> pa.RecordBatch:
+        anchor, s1, weight = (rows.column(i).to_numpy() for i in range(3))
+        sizes = np.diff(np.frombuffer(rows.column(3).buffers()[1], np.int32)[rows.column(3).offset :][: len(rows) + 1]) // 8
+        keys = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint64)
+        row = np.repeat(np.arange(len(rows)), sizes)
+        _, place, times = np.unique(keys + anchor[row].view(np.uint64) * BASES[1], return_inverse=True, return_counts=True)
+        total = np.zeros(len(times), np.int64)
+        np.add.at(total, place, weight[row])
+        offset = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        marks = np.zeros(len(rows), np.int64)
+        np.bitwise_or.at(marks, row, np.where(total[place] > 1, np.int64(1) << offset, 0))
+        some = np.flatnonzero(marks)
+        return pa.RecordBatch.from_arrays([pa.array(anchor[some]), pa.array(s1[some]), pa.array(marks[some])], names=["akey", "s1", "marks"])
+
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        whole = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        anchor = whole.column(0).to_numpy()
+        last = len(anchor) - int((anchor[::-1] != anchor[-1]).argmax()) if (anchor != anchor[-1]).any() else 0
+        if last:
+            yield compare(whole.slice(0, last))
+        held = whole.slice(last)
+    if held is not None:
+        yield compare(held)
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of the folded segments, keyed by its content and its offset from the anchor."""
+    """A row for each window of the segments."""
     for batch in batches:
-        keys, many, s1s, s2s, offsets = [], [], [], [], []
+        parts = []
         for version, text, folded in zip(*(batch.column(i) for i in range(2, 5)), strict=True):
-            pieces = [p for p in folded.as_py() if p["version"] == version.as_py()]
-            if not pieces:
-                continue
-            words = text.as_buffer().to_pybytes().split()
-            roll = Rolling(word_hashes(words))
-            n = np.array([p["n"] for p in pieces])
-            lo = np.repeat(np.array([p["lo"] for p in pieces]), n)
-            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            start = lo + offset
-            stands = np.repeat(np.array([p["pos"] for p in pieces]), n) - start
-            # the two hashes and the offset, folded into one key of 64 bits from 128
-            keys.append(roll(start, start + WINDOW) ^ (roll(start, start + WINDOW, 1) + stands.astype(np.uint64)) * BASES[0])
-            many.append(np.repeat(np.array([p["weight"] > 1 for p in pieces]), n))
-            s1s.append(np.repeat(np.array([p["s1"] for p in pieces], np.int64), n))
-            s2s.append(np.repeat(np.array([p["s2"] for p in pieces], np.int64), n))
-            offsets.append(offset)
-        empty = np.empty(0, np.int64)
-        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else empty.astype(kind)
-        key, heavy, s1, s2, offset = join(keys, np.uint64), join(many, bool), join(s1s, np.int64), join(s2s, np.int64), join(offsets, np.int32)
+            if pieces := _own(version, folded):
+                keys, offset, of = _window_keys(text.as_buffer().to_pybytes().split(), pieces)
+                field = lambda name, of=of, pieces=pieces: np.array([p[name] for p in pieces], np.int64)[of]
+                parts.append((keys, field("weight") > 1, field("akey"), field("s1"), offset.astype(np.int32)))
+        kinds = (np.uint64, bool, np.int64, np.int64, np.int32)
+        key, heavy, akey, s1, offset = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.empty(0, k) for k in kinds)
         again, many = witnesses(key)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64)), pa.array(heavy | many), pa.array(again), pa.array(s1), pa.array(s2), pa.array(offset)],
-            names=["key", "many", "again", "s1", "s2", "off"],
+            [pa.array(key.view(np.int64)), pa.array(heavy | many), pa.array(again), pa.array(akey), pa.array(s1), pa.array(offset)],
+            names=["key", "many", "again", "akey", "s1", "off"],
         )
 
 
-def _look_into(source: DataFrame, folded: DataFrame) -> DataFrame:
-    """s1, s2, marks: a bit for each start of the segment whose window repeats."""
-    per_doc = folded.groupBy("dkey").agg(F.collect_list(F.struct("version", "s1", "s2", "weight", "pos", "lo", "n")).alias("folded"))
-    windows = texts_with(source, per_doc).mapInArrow(_windows, "key long, many boolean, again boolean, s1 long, s2 long, off int")
-    hits = repeats(windows)
-    return hits.groupBy("s1", "s2").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("marks"))
+def _look_into(source: DataFrame, told: DataFrame) -> DataFrame:
+    """akey, s1, marks: a bit for each start of the segment whose window repeats.
+
+    The segments of an anchor meet in one task; where more than ``CROWD`` of them differ, each window is sent by itself.
+    """
+    piece = F.struct("version", "akey", "s1", "weight", "pos", "lo", "n")
+
+    def texts(some: DataFrame) -> DataFrame:
+        return texts_with(source, some.groupBy("dkey").agg(F.collect_list(piece).alias("folded")))
+
+    packed = texts(told.where(F.col("variants") <= CROWD)).mapInArrow(_packed, "akey long, s1 long, weight long, keys binary")
+    compared = packed.repartition("akey").sortWithinPartitions("akey").mapInArrow(_compared, "akey long, s1 long, marks long")
+    alone = texts(told.where(F.col("variants") > CROWD)).mapInArrow(_windows, "key long, many boolean, again boolean, akey long, s1 long, off int")
+    hits = repeats(alone).groupBy("akey", "s1").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("marks"))
+    return compared.union(hits)
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

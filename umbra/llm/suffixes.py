@@ -81,19 +81,18 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stop = lo + n - 1 + WINDOW
             shape = ((at - lo) * 1024 + n).astype(np.uint64)
             s1 = roll(lo, stop) + shape * BASES[0]
-            s2 = roll(lo, stop, 1) + shape * BASES[1]
             same = np.zeros(len(at), np.int64)
-            rows.append((s1.view(np.int64), s2.view(np.int64), roll(at, at + GRAM).view(np.int64), same + dkey.as_py(), same + version.as_py(), at, lo, n))
-        columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.empty(0, np.int64)] * 8
+            rows.append((roll(at, at + GRAM, 1).view(np.int64), s1.view(np.int64), same + dkey.as_py(), same + version.as_py(), at, lo, n))
+        columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.empty(0, np.int64)] * 7
         yield pa.RecordBatch.from_arrays(
-            [*(pa.array(c) for c in columns[:5]), *(pa.array(c.astype(np.int32)) for c in columns[5:])],
-            names=["s1", "s2", "akey", "dkey", "version", "pos", "lo", "n"],
+            [*(pa.array(c) for c in columns[:3]), *(pa.array(c.astype(np.int32)) for c in columns[3:])],
+            names=["akey", "s1", "dkey", "version", "pos", "lo", "n"],
         )
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Text of the folded segments: whole, or for a crowded anchor by families of eight starts with common bytes."""
-    names = ["gkey", "s1", "s2", "weight", "start", "content"]
+    names = ["gkey", "akey", "s1", "weight", "start", "content"]
     for batch in batches:
         out: list[list] = [[] for _ in names]
         for version, text, folded in zip(*(batch.column(i) for i in range(2, 5)), strict=True):
@@ -111,7 +110,7 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         common = roll(np.array([core]), np.array([core + WINDOW - FAMILY + 1])) + np.uint64(family & 0xFFFF) * BASES[1]
                         parts.append((int(common.view(np.int64)[0]), max(lo, core - FAMILY + 1), min(hi, core + 1)))
                 for gkey, a, b in parts:
-                    for column, value in zip(out, (gkey, p["s1"], p["s2"], p["weight"], a - lo, data[a : b - 1 + WINDOW]), strict=True):
+                    for column, value in zip(out, (gkey, p["akey"], p["s1"], p["weight"], a - lo, data[a : b - 1 + WINDOW]), strict=True):
                         column.append(value)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
@@ -194,7 +193,7 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = table["gkey"].to_numpy()
         sizes = np.array([len(t) + 1 for t in texts])
         edges = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
-        s1, s2, weight, start = (table[c].to_numpy() for c in ("s1", "s2", "weight", "start"))
+        akey, s1, weight, start = (table[c].to_numpy() for c in ("akey", "s1", "weight", "start"))
         volume = np.r_[0, np.cumsum(sizes)]
         i = 0
         while i < len(edges) - 1:
@@ -206,13 +205,13 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = [k for k, m in enumerate(marks) if m.any()]
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array(akey[a:b][some]),
                     pa.array(s1[a:b][some]),
-                    pa.array(s2[a:b][some]),
                     pa.array(start[a:b][some]),
                     pa.array([len(marks[k]) for k in some], pa.int32()),
                     pa.array([np.packbits(marks[k]).tobytes() for k in some], pa.binary()),
                 ],
-                names=["s1", "s2", "start", "n", "bits"],
+                names=["akey", "s1", "start", "n", "bits"],
             )
             i = j
 
@@ -235,15 +234,14 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done(held)
 
 
-def _look_into(source: DataFrame, folded: DataFrame) -> DataFrame:
-    """s1, s2, marks: a bit for each of n starts from the segment's start plus shift."""
-    crowded = folded.groupBy("akey").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > CROWD)
-    told = folded.join(crowded, "akey", "left").withColumn("crowded", F.col("many").isNotNull())
-    per_doc = told.groupBy("dkey").agg(F.collect_list(F.struct("version", "s1", "s2", "weight", "pos", "lo", "n", "akey", "crowded")).alias("folded"))
-    contents = texts_with(source, per_doc).mapInArrow(_contents, "gkey long, s1 long, s2 long, weight long, start int, content binary")
+def _look_into(source: DataFrame, told: DataFrame) -> DataFrame:
+    """akey, s1, marks: a bit for each of n starts from the segment's start plus shift."""
+    piece = F.struct("version", "akey", "s1", "weight", "pos", "lo", "n", (F.col("variants") > CROWD).alias("crowded"))
+    per_doc = told.groupBy("dkey").agg(F.collect_list(piece).alias("folded"))
+    contents = texts_with(source, per_doc).mapInArrow(_contents, "gkey long, akey long, s1 long, weight long, start int, content binary")
     sorted_rows = contents.repartition("gkey").sortWithinPartitions("gkey")
-    hits = sorted_rows.mapInArrow(_expand, "s1 long, s2 long, start int, n int, bits binary")
-    return hits.select("s1", "s2", F.struct(F.col("start").alias("shift"), "n", "bits").alias("marks"))
+    hits = sorted_rows.mapInArrow(_expand, "akey long, s1 long, start int, n int, bits binary")
+    return hits.select("akey", "s1", F.struct(F.col("start").alias("shift"), "n", "bits").alias("marks"))
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
