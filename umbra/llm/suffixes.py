@@ -157,21 +157,40 @@ def repeated_starts(texts: list[bytes], weights: np.ndarray, window: int = WINDO
     common = np.full(n, window, np.int32)
     reached = np.r_[True, border]
     alphabet = np.unique(data[np.setdiff1d(np.arange(n), ends, assume_unique=True)]) if n > len(texts) else np.empty(0, np.uint8)
-    ranks = np.empty((len(alphabet), n + 1), np.int32)
-    for i, byte in enumerate(alphabet):
+    amounts = np.bincount(data, minlength=256)
+    common_bytes = alphabet[amounts[alphabet] > n // 400]
+    ranks = np.empty((len(common_bytes), n + 1), np.int32)
+    for i, byte in enumerate(common_bytes):
         code = int(byte) + len(texts)
         ranks[i, 0] = 0
         np.cumsum(before == code, out=ranks[i, 1:])
         ranks[i] += np.searchsorted(firsts, code)
+    # Rare bytes have few borders: for each, the stretch of borders of which the first reached one extends to it.
+    lows, highs, targets = [], [], []
+    for byte in np.setdiff1d(alphabet, common_bytes):
+        code = int(byte) + len(texts)
+        at = np.flatnonzero(before == code)
+        lows.append(at[:-1])
+        highs.append(at[1:])
+        targets.append(np.searchsorted(firsts, code) + np.arange(1, len(at)))
+    low, high, target = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (lows, highs, targets))
     level = np.flatnonzero(reached)
     common[level] = 0
+    stamp = np.empty(n + 1, np.int64)
     for length in range(1, window):
         following = ranks[:, level].ravel()
         following = following[following < n]
         following = following[~reached[following]]
-        if not len(following):
+        hit = np.searchsorted(level, low, "right") < np.searchsorted(level, high, "right")
+        following = np.concatenate([following, target[hit]])
+        if hit.any():
+            low, high, target = low[~hit], high[~hit], target[~hit]
+        number = np.arange(len(following))
+        stamp[following] = number
+        level = following[stamp[following] == number]
+        if not len(level):
             break
-        level = np.unique(following)
+        level.sort()
         reached[level] = True
         common[level] = length
     owner = np.repeat(np.arange(len(texts)), lengths + 1)[order]
@@ -249,18 +268,30 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, removed, spans, digests = [], [], [], []
         for version, text, found in zip(*(batch.column(i) for i in range(2, 5)), strict=True):
             data = text.as_buffer().to_pybytes()
-            edges = np.zeros(len(data) + 1, np.int64)
-            for f in found.as_py() or ():
-                if f["version"] == version.as_py():
-                    bits = np.flatnonzero(np.unpackbits(np.frombuffer(f["marks"]["bits"], np.uint8))[: f["marks"]["n"]])
-                    start = f["lo"] + f["marks"]["shift"] + bits
-                    np.add.at(edges, start, 1)
-                    np.add.at(edges, start + WINDOW, -1)
-            covered = np.add.accumulate(edges[:-1]) > 0
-            kept = np.frombuffer(data, np.uint8)[~covered].tobytes() if covered.any() else data
+            start = np.empty(0, np.int64)
+            if found.is_valid:
+                rows = found.values
+                marks = rows.field(2)
+                n, shift = marks.field(1).to_numpy().astype(np.int64), marks.field(0).to_numpy()
+                base = (rows.field(1).to_numpy() + shift).astype(np.int64)
+                n = np.where(rows.field(0).to_numpy() == version.as_py(), n, 0)
+                parts = marks.field(2).to_pylist()
+                width = np.array([len(p) for p in parts]) * 8
+                bit = np.flatnonzero(np.unpackbits(np.frombuffer(b"".join(parts), np.uint8)))
+                row = np.repeat(np.arange(len(parts)), width)[bit]
+                place = bit - (np.cumsum(width) - width)[row]
+                fits = place < n[row]
+                start = base[row[fits]] + place[fits]
+            if len(start):
+                edges = np.bincount(start, minlength=len(data) + 1) - np.bincount(start + WINDOW, minlength=len(data) + 1)
+                covered = np.add.accumulate(edges[:-1]) > 0
+                kept = np.frombuffer(data, np.uint8)[~covered].tobytes()
+                spans.append(removed_runs(covered))
+            else:
+                kept = data
+                spans.append(0)
             sizes.append(len(data))
             removed.append(len(data) - len(kept))
-            spans.append(removed_runs(covered))
             digests.append(hashlib.sha256(kept).hexdigest())
         columns = [*(pa.array(c, pa.int64()) for c in (sizes, removed, spans)), pa.array(digests, pa.string())]
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
