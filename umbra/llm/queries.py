@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from umbra.llm.bpe import encode_documents
 from umbra.llm.exact import exact_dedup
+from umbra.llm.language import score_language
 from umbra.llm.lines import line_dedup
 from umbra.llm.mixing import mix_sources
 from umbra.llm.quality import quality_rules
@@ -49,6 +50,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_language(_documents(spark, sf_dir), str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_language_model": op7_language_model,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
