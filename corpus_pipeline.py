@@ -1,15 +1,73 @@
-"""Corpus preparation: stages that follow one another over ``documents``."""
+"""Corpus preparation: five stages over ``documents``, each written and read again between."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from umbra.llm.bpe import encode_documents
+from umbra.llm.lines import line_dedup
+from umbra.llm.mixing import mix_sources
+from umbra.llm.simhash import simhash_components
+from umbra.llm.toxicity import score_toxicity
+from umbra.shared import stash, within
+
+#: Ids that a stage sends to every task at most; more are joined by a shuffle.
+MOST_SENT = 2_000_000
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    others = [c for c in docs.columns if c != "doc_id"]
+    return score_toxicity(docs, labels, keep=others).where("predicted = 0").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without repeated lines; a document of which nothing is left goes, one that was blank before stays."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    found = line_dedup(docs, keep=others)
+    left = found.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " ")) != ""))
+    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the document with the smallest id."""
+    found = simhash_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(within(stash(found, "near"), MOST_SENT), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes its words, to the nearest whole number: never, once or twice."""
+    mix = mix_sources(docs).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    times = mix.where("size > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
+    taken = docs.join(times.hint("shuffle_hash"), "doc_id")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the digests of the ids and of the decoded text."""
+    return encode_documents(docs, str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line dedup", lines),
+    ("simhash near-dedup", near_duplicates),
+    ("mixing", mixing),
+    ("bpe encoding", encoding),
+]
+
+#: SQL can't express the classifier, the fingerprints or the encoder.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole ``documents``; each result but the last is written to the shared folder and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = stash(docs, f"stage-{number}")
     return docs

@@ -85,8 +85,10 @@ def _near_lines(source: DataFrame, lite: DataFrame, near_chars: int) -> DataFram
     return checked.select("h1").distinct()
 
 
-def line_dedup(docs: DataFrame, near_chars: int = NEAR_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (what is left), n_lines, n_removed; one row per input row.
+def line_dedup(
+    docs: DataFrame, near_chars: int = NEAR_CHARS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None
+) -> DataFrame:
+    """doc_id, text (what is left), n_lines, n_removed and the columns in ``keep``; one row per input row.
 
     Lines are split at \\n and compared without white space at their ends. Of equal lines the earliest (by id, then by
     place) stays; a line of at least ``near_chars`` characters also goes if an earlier one is within one inserted, deleted
@@ -107,7 +109,9 @@ def line_dedup(docs: DataFrame, near_chars: int = NEAR_CHARS, id_col: str = "doc
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("dkey"),
         F.col(text_col).alias("text"),
         F.xxhash64(F.col(text_col)).alias("version"),
+        *(F.col(k).alias(f"kept_{i}") for i, k in enumerate(keep or [])),
     )
+    passed = [F.col(f"kept_{i}").alias(k) for i, k in enumerate(keep or [])]
     line = F.btrim("raw", F.lit(_TRIMMED))
     rows = source.select("dkey", "version", F.posexplode(F.split("text", "\n")).alias("at", "raw")).withColumn("line", line).where("line <> ''")
     n = F.char_length("line")
@@ -127,11 +131,12 @@ def line_dedup(docs: DataFrame, near_chars: int = NEAR_CHARS, id_col: str = "doc
     gone = gone.groupBy("dkey", "version").agg(F.collect_set("at").alias("gone")).hint("shuffle_hash")
     joined = source.join(gone, ["dkey", "version"], "left")
     # a generator keeps the split lines from being computed anew for every line
-    lined = joined.select("doc_id", "text", "gone", F.explode(F.array(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("lines"))
+    lined = joined.select("doc_id", "text", "gone", *(c for c in joined.columns if c.startswith("kept_")), F.explode(F.array(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("lines"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.get("lines", i))
     return lined.select(
         "doc_id",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *passed,
     )
