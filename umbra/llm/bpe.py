@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Transitions that a worker remembers before it starts anew, and pieces in each of two generations; both only bound memory.
-MOST_TRANSITIONS, MOST_PIECES = 300_000, 400_000
+MOST_TRANSITIONS, MOST_PIECES = 200_000, 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -9,7 +9,8 @@ Both look for windows (of words or of bytes) whose content also starts elsewhere
 4. The windows found to repeat are marked in all occurrences of their segments, and documents drop what marked
    windows cover.
 
-Text is dealt out by document key once; the plan's later uses of that exchange are reused. No step gathers a key's
+What each step finds is written to the shared folder and the shuffle behind it released. Text is dealt out by document
+key twice: to make segments, and to look into them and remove what repeats, which reuse one exchange. No step gathers a key's
 rows in memory: repeats are found in a stream sorted by key, and where a task meets a key again, all but
 the first of its rows go to a task drawn at random, already known to repeat.
 """
@@ -163,11 +164,15 @@ def remove_repeats(
     segments = texts_with(source, positions).mapInArrow(
         occurrences, "akey long, s1 long, dkey long, version int, pos int, lo int, n int"
     )
+    segments = stash(segments, tag)
+    release(docs.sparkSession)
     folded = segments.groupBy("akey", "s1").agg(
         F.count(F.lit(1)).alias("weight"), *(F.first(c).alias(c) for c in ("dkey", "version", "pos", "lo", "n"))
     )
+    folded = stash(folded, tag)
     variants = folded.groupBy("akey").agg(F.count(F.lit(1)).alias("variants"))
-    told = folded.join(variants, "akey")
+    told = stash(folded.join(variants, "akey"), tag)
+    release(docs.sparkSession)
     settled = told.where("variants = 1 AND weight > 1").select("akey", "s1", whole.alias("marks"))
     marks = look_into(source, told.where("variants > 1")).union(settled)
     marked: Column = F.struct("version", "lo", "marks")
