@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from umbra.llm.batches import pieces
+
 #: Transitions that a worker remembers before it starts anew, and pieces in each of two generations; both only bound memory.
 MOST_TRANSITIONS, MOST_PIECES = 300_000, 400_000
 
@@ -235,7 +237,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = codec(path, pattern)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             counts, digests, round_trips, ids_of = [], [], [], []
             for text in batch.column(1):
                 ids = worker.encode(text.as_py() or "")

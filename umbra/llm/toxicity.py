@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from umbra.llm.batches import pieces
 from umbra.shared import stash, within
 
 #: Labelled rows that the label model and the classifier are fitted on at most (a share of the ids by digest), lexicon
@@ -193,7 +194,7 @@ def score_toxicity(
     schema = ", ".join([f"doc_id {types[id_col]}", "score double", *(f"`kept_{i}` {types[k]}" for i, k in enumerate(keep))])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             values = []
             for text in batch.column(1):
                 row = _features(entries(text.as_py() or ""), place)
