@@ -23,7 +23,7 @@ TAGGED = """SELECT p_partkey AS id, p_size, CASE p_partkey % 5 WHEN 0 THEN 'yes'
     CASE p_partkey % 8 WHEN 0 THEN 'underground' END AS location FROM part"""
 KEYS = ("foot", "access", "barrier", "locked", "highway", "crossing", "kerb", "species", "building", "location")
 NAMED = {"crossing:signals": "lights", "kerb:height": "kerb_height", "leaf_cycle": "cycle", "leaf_type": "leaf", "bridge": "building", "tunnel": "building"}
-OPTIONS = """SELECT o_custkey AS part, o_orderkey AS id, o_orderkey % 11 / 10.0 AS shade, o_orderkey % 7 / 6.0 AS sun_factor,
+OPTIONS = """SELECT o_custkey AS part, o_orderkey AS id, o_orderkey % 11 / 10.0::DOUBLE AS shade, o_orderkey % 7 / 6.0::DOUBLE AS sun_factor,
     CASE WHEN o_custkey % 3 = 0 AND o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 60 - 15.0 END AS felt, 100.0 + o_orderkey % 900 AS distance_m FROM orders"""
 
 
