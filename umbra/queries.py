@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from umbra.functions import geo, text, times
 from umbra.operators import graph, sequences, spatial
 from umbra.operators.components import connected_components
-from umbra.plans import walks  # noqa: F401  (registers its queries)
+from umbra.plans import scenes, walks  # noqa: F401  (register their queries)
 from umbra.plans.registry import FIXES, NODES, ORACLES, POIS, QUERIES, RASTER, SEGMENTS, WALKERS, fixes, nodes, pois, query, raster, stand_in
 
 M = f"({geo.METRES_PER_DEGREE!r})"
