@@ -60,3 +60,21 @@ def plural(n: Column, one: str, few: str, many: str) -> Column:
 def asset_urls(html: Column) -> Column:
     """Distinct src and href values in order."""
     return F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?:src|href)="([^"]+)"'), F.lit(1)))
+
+
+#: Abbreviations after which a full stop ends no sentence.
+ABBREVIATIONS = ("ul", "al", "pl", "os", "np", "św", "ok", "godz", "tzw", "tj", "im", "ks", "dr", "prof", "gen", "min", "in")
+_BEFORE = r"(?:^|[^\p{L}\d])"
+_HELD = rf"(?:(?<={_BEFORE}(?:(?iu:{'|'.join(ABBREVIATIONS)})|\p{{L}}))\.|(?<={_BEFORE}\d{{1,18}})\.(?=\s++(?!\p{{Lu}})))\s+"
+
+
+def sentences(text: Column) -> Column:
+    """Sentences with white space collapsed: they end with . ! ? … and closing marks before white space, or with a line.
+
+    No end is a full stop after an abbreviation, an initial, or a number that no capital follows. What has neither a
+    letter nor a digit is left out; null gives null. Markup stays as it is.
+    """
+    held = F.regexp_replace(text, _HELD, ".\u0002")
+    cut = F.regexp_replace(held, r"[.!?…]+[\"”’)\]]*\s+|\n+", "$0\u0001")
+    parts = F.transform(F.split(cut, "\u0001"), lambda s: F.trim(F.regexp_replace(s, r"[\s\x02]+", " ")))
+    return F.filter(parts, lambda s: s.rlike(r"[\p{L}\d]"))

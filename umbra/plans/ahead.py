@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from umbra.functions import requests, text
 from umbra.functions.geo import rounded
 from umbra.operators import marches
 from umbra.plans.registry import NODES, RASTER, query, raster, stand_in
@@ -79,3 +80,28 @@ def _(read):
     lanes = plain.select("way_id", "seg", "side", *(F.col(c).cast("double").alias(c) for c in ("start_m", "end_m", "sun")))
     walks = stand_in(read, "orders", WALKS).withColumn("along_m", F.col("along_m").cast("double"))
     return marches.hints(walks, lanes, "way_id")
+
+
+#: Values of requests, some of which are not valid.
+ASKED = """SELECT c_custkey AS id, '20' || (10 + c_custkey % 80) || '-0' || (1 + c_custkey % 9) || '-' || (10 + c_custkey % 23) || 'T' || (10 + c_custkey % 16) || ':' || (10 + c_custkey % 53)
+    || CASE c_custkey % 4 WHEN 0 THEN 'Z' WHEN 1 THEN '+02:00' WHEN 2 THEN ':30-0530' ELSE '' END AS moment,
+    (c_custkey % 7) || ', ' || (c_custkey % 97) || ',' || (c_custkey % 5) || '.5,' || CASE WHEN c_custkey % 11 = 0 THEN 'x' WHEN c_custkey % 13 = 0 THEN '50,1' ELSE '' || c_custkey % 101 END AS box,
+    CASE c_custkey % 4 WHEN 0 THEN 'senior' WHEN 1 THEN 'accessible' WHEN 2 THEN 'fast' END AS profile FROM customer"""
+
+
+@query(
+    "flt_22_requests",
+    f"""SELECT id, CASE WHEN regexp_matches(moment, 'T(1[0-9]|2[0-3]):[1-5][0-9](:30)?(Z|[+-][0-9]{{2}}:?[0-9]{{2}})$') AND try_cast(substr(moment, 1, 10) AS DATE) IS NOT NULL THEN moment END AS moment,
+    CASE WHEN id % 11 > 0 AND id % 13 > 0 AND id % 7 < id % 5 + 0.5 AND id % 97 < id % 101 AND id % 97 <= 90 AND id % 101 <= 90 THEN (id % 101)::DOUBLE END AS north,
+    CASE WHEN profile IS NULL THEN 'default' WHEN profile <> 'fast' THEN profile END AS profile FROM ({ASKED})""",
+)
+def _(read):
+    asked = stand_in(read, "customer", ASKED)
+    profile = requests.one_of(F.col("profile"), ["default", "accessible", "senior"], "default").alias("profile")
+    return asked.select("id", requests.moment(F.col("moment")).alias("moment"), F.get(requests.bounds(F.col("box")), F.lit(3)).alias("north"), profile)
+
+
+@query("str_17_sentences")
+def _(read):
+    """No oracle: the engine for it has no look-behind; tested against a plain walk over matches."""
+    return read("documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("place", "sentence"))
