@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.passages import BASES, Rolling, remove_repeats, removed_runs, texts_with, witnesses
+from umbra.llm.passages import BASES, Rolling, remove_repeats, removed_runs, repeats, texts_with, witnesses
 
 #: Window and anchor in bytes; windows of a text that are handled at once.
 WINDOW, GRAM, CHUNK = 200, 32, 1 << 22
 #: Bytes of text that one Burrows-Wheeler transform holds, about.
 BLOCK = 1 << 17
-#: Different segments around one anchor from which its windows are grouped by 193 common bytes, eight starts at a time.
-CROWD, FAMILY = 1500, 8
+#: Different segments around one anchor that are held in one task at most; where there are more, windows meet by their hashes.
+CROWD = 1500
 
 _TABLE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -91,37 +91,61 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Text of the folded segments: whole, or for a crowded anchor by families of eight starts with common bytes."""
-    names = ["gkey", "akey", "s1", "weight", "start", "content"]
+    """Text of the folded segments."""
+    names = ["akey", "s1", "weight", "content"]
     for batch in batches:
         out: list[list] = [[] for _ in names]
         for version, text, folded in zip(*(batch.column(i) for i in range(2, 5)), strict=True):
-            data, roll = text.as_buffer().to_pybytes(), None
+            data = text.as_buffer().to_pybytes()
             for p in folded.as_py():
                 if p["version"] != version.as_py():
                     continue
                 lo, hi = p["lo"], p["lo"] + p["n"]
-                parts = [(p["akey"], lo, hi)]
-                if p["crowded"]:
-                    roll = roll or _rolling(data)
-                    parts = []
-                    for family in range((p["pos"] - hi + 1) // FAMILY, (p["pos"] - lo) // FAMILY + 1):
-                        core = p["pos"] - FAMILY * family
-                        common = roll(np.array([core]), np.array([core + WINDOW - FAMILY + 1])) + np.uint64(family & 0xFFFF) * BASES[1]
-                        parts.append((int(common.view(np.int64)[0]), max(lo, core - FAMILY + 1), min(hi, core + 1)))
-                for gkey, a, b in parts:
-                    for column, value in zip(out, (gkey, p["akey"], p["s1"], p["weight"], a - lo, data[a : b - 1 + WINDOW]), strict=True):
-                        column.append(value)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                for column, value in zip(out, (p["akey"], p["s1"], p["weight"], data[lo : hi - 1 + WINDOW]), strict=True):
+                    column.append(value)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each window of the folded segments: its hash, whether it is known to repeat, where it starts in its segment."""
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        key, known, akey, s1, at = (np.concatenate(c) for c in zip(*rows, strict=True))
+        again, many = witnesses(key)
+        columns = [pa.array(key.view(np.int64)), pa.array(many | known), pa.array(again), pa.array(akey), pa.array(s1), pa.array(at.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "many", "again", "akey", "s1", "at"])
+
+    for batch in batches:
+        rows: list[tuple] = []
+        size = 0
+        for version, text, folded in zip(*(batch.column(i) for i in range(2, 5)), strict=True):
+            own = [p for p in folded.as_py() if p["version"] == version.as_py()]
+            if not own:
+                continue
+            roll = _rolling(text.as_buffer().to_pybytes())
+            for p in own:
+                at = np.arange(p["n"])
+                start = p["lo"] + at
+                key = roll(start, start + WINDOW) ^ roll(start, start + WINDOW, 1) * BASES[0]
+                rows.append((key, np.full(len(at), p["weight"] > 1), np.full(len(at), p["akey"]), np.full(len(at), p["s1"]), at))
+                size += len(at)
+            if size >= CHUNK // 8:
+                yield made(rows)
+                rows, size = [], 0
+        if rows:
+            yield made(rows)
+
+
 def _suffix_order(codes: np.ndarray) -> np.ndarray:
-    """Suffixes in order of their first 256 codes at least, by doubling from packed groups of four 16-bit codes."""
+    """Suffixes in order of their first 256 codes at least, by doubling from groups of as many codes as 64 bits hold."""
     n = len(codes)
-    padded = np.r_[codes, np.zeros(3, codes.dtype)].astype(np.uint64)
-    key = padded[:n] << np.uint64(48) | padded[1 : n + 1] << np.uint64(32) | padded[2 : n + 2] << np.uint64(16) | padded[3 : n + 3]
-    reach = 4
+    bits = max(1, int(codes.max(initial=0)).bit_length())
+    reach = min(256, 64 // bits)
+    padded = np.r_[codes, np.zeros(reach, codes.dtype)].astype(np.uint64)
+    key = np.zeros(n, np.uint64)
+    for i in range(reach):
+        key = key << np.uint64(bits) | padded[i : n + i]
     while True:
         order = np.argsort(key)
         ranked = key[order]
@@ -131,7 +155,7 @@ def _suffix_order(codes: np.ndarray) -> np.ndarray:
         if reach >= 256 or int(fresh.sum()) == n - 1:
             return order
         after = np.zeros(n, np.int64)
-        after[: n - reach] = rank[reach:] + 1
+        after[: max(0, n - reach)] = rank[reach:] + 1
         key = rank * (n + 1) + after
         reach *= 2
 
@@ -204,33 +228,32 @@ def repeated_starts(texts: list[bytes], weights: np.ndarray, window: int = WINDO
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by gkey, a group's rows in one transform with its neighbours'."""
+    """Rows sorted by akey, an anchor's rows (``CROWD`` at most) in one transform with its neighbours'."""
 
     def done(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows)
         texts = table["content"].to_pylist()
-        key = table["gkey"].to_numpy()
+        key = table["akey"].to_numpy()
         sizes = np.array([len(t) + 1 for t in texts])
         edges = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
-        akey, s1, weight, start = (table[c].to_numpy() for c in ("akey", "s1", "weight", "start"))
+        s1, weight = (table[c].to_numpy() for c in ("s1", "weight"))
         volume = np.r_[0, np.cumsum(sizes)]
         i = 0
         while i < len(edges) - 1:
             j = i + 1
-            while j < len(edges) - 1 and volume[edges[j + 1]] - volume[edges[i]] <= BLOCK and edges[j + 1] - edges[i] < 60_000:
+            while j < len(edges) - 1 and volume[edges[j + 1]] - volume[edges[i]] <= BLOCK:
                 j += 1
             a, b = edges[i], edges[j]
             marks = repeated_starts(texts[a:b], weight[a:b])
             some = [k for k, m in enumerate(marks) if m.any()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(akey[a:b][some]),
+                    pa.array(key[a:b][some]),
                     pa.array(s1[a:b][some]),
-                    pa.array(start[a:b][some]),
                     pa.array([len(marks[k]) for k in some], pa.int32()),
                     pa.array([np.packbits(marks[k]).tobytes() for k in some], pa.binary()),
                 ],
-                names=["akey", "s1", "start", "n", "bits"],
+                names=["akey", "s1", "n", "bits"],
             )
             i = j
 
@@ -255,12 +278,19 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _look_into(source: DataFrame, told: DataFrame) -> DataFrame:
     """akey, s1, marks: a bit for each of n starts from the segment's start plus shift."""
-    piece = F.struct("version", "akey", "s1", "weight", "pos", "lo", "n", (F.col("variants") > CROWD).alias("crowded"))
-    per_doc = told.groupBy("dkey").agg(F.collect_list(piece).alias("folded"))
-    contents = texts_with(source, per_doc).mapInArrow(_contents, "gkey long, akey long, s1 long, weight long, start int, content binary")
-    sorted_rows = contents.repartition("gkey").sortWithinPartitions("gkey")
-    hits = sorted_rows.mapInArrow(_expand, "akey long, s1 long, start int, n int, bits binary")
-    return hits.select("akey", "s1", F.struct(F.col("start").alias("shift"), "n", "bits").alias("marks"))
+    piece = F.struct("version", "akey", "s1", "weight", "pos", "lo", "n")
+    per_doc = lambda rows: texts_with(source, rows.groupBy("dkey").agg(F.collect_list(piece).alias("folded")))
+    contents = per_doc(told.where(F.col("variants") <= CROWD)).mapInArrow(_contents, "akey long, s1 long, weight long, content binary")
+    hits = contents.repartition("akey").sortWithinPartitions("akey").mapInArrow(_expand, "akey long, s1 long, n int, bits binary")
+    marks = hits.select("akey", "s1", F.struct(F.lit(0).alias("shift"), "n", "bits").alias("marks"))
+    crowded = told.where(F.col("variants") > CROWD)
+    if crowded.isEmpty():
+        return marks
+    hashed = per_doc(crowded).mapInArrow(_hashed, "key long, many boolean, again boolean, akey long, s1 long, at int")
+    # Eight starts make a byte; the first is its highest bit.
+    octets = repeats(hashed).groupBy("akey", "s1", (F.expr("at DIV 8") * 8).cast("int").alias("shift")).agg(F.expr("bit_or(shiftright(128, at % 8))").alias("octet"))
+    bits = F.unhex(F.lpad(F.hex("octet"), 2, "0")).alias("bits")
+    return marks.union(octets.select("akey", "s1", F.struct("shift", F.lit(8).alias("n"), bits).alias("marks")))
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,8 +333,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Windows stand under their minimizer; those whose minimizer's hash occurs once are settled. The rest are
     dealt out by it, so equal windows meet, and within a block of segments (128 KB, each ended by a symbol of its
     own, so matches never cross documents) common prefixes are derived on a Burrows-Wheeler transform. Equal
-    segments fold first. A group of segments under one anchor that is larger than a block is dealt out once more
-    by 193 bytes that its windows share.
+    segments fold first. Where an anchor has more than ``CROWD`` segments that differ, no task holds them: their windows
+    are dealt out by 64 bits mixed from two hashes of the whole 200 bytes and met in a stream.
 
     Null text has no bytes; texts under 200 bytes lose nothing and match nothing. Rows repeated with the same id and
     text are further documents and remove each other. Null ids are allowed. An empty table gives an empty result.
