@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from umbra.functions import geo, text, times
 from umbra.operators import graph, sequences, spatial
-from umbra.operators.components import connected_components
 from umbra.plans import ahead, scenes, walks  # noqa: F401  (register their queries)
 from umbra.plans.registry import FIXES, NODES, ORACLES, POIS, QUERIES, RASTER, SEGMENTS, WALKERS, fixes, nodes, pois, query, raster, stand_in
 
@@ -191,8 +190,8 @@ def _(read):
 
 @query("agg_04_components")
 def _(read):
-    edges = read("lineitem").where("l_orderkey % 7 = l_partkey % 7").select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + 100_000_000).alias("dst"))
-    return connected_components(edges)
+    length = F.col("l_quantity").cast("double").alias("length_m")
+    return graph.measured_components(read("lineitem").select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + 100_000_000).alias("dst"), length))
 
 
 @query("gra_03_shortest_paths")
