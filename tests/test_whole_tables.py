@@ -42,3 +42,7 @@ def test_longest_component(spark):
     totals = _totals(edges, roots)
     got = graph.measured_components(spark.createDataFrame(edges, "src long, dst long, length_m double")).collect()
     assert sorted(map(tuple, got)) == sorted((n, c, totals[c], c == 7) for n, c in roots.items())
+
+
+def test_rows_beyond_the_hundredth_are_dilated(spark):
+    assert queries.QUERIES["win_20_dilate_whole"](spark, SF).where("row > 101").count() > 0

@@ -165,6 +165,14 @@ def _(read):
     return found.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
 
 
+@query("win_20_dilate_whole", f"""WITH g AS (FROM ({RASTER})), s AS (SELECT DISTINCT "row" AS r, "col" AS q FROM g WHERE value > 0.3), m AS (SELECT max("row") AS last FROM g)
+    SELECT DISTINCT r + i AS "row", q + j AS "col" FROM s, m, (SELECT unnest(range(-2, 3)) AS i) a, (SELECT unnest(range(-2, 3)) AS j) b WHERE r + i BETWEEN 0 AND last AND q + j BETWEEN 0 AND 63""")
+def _(read):
+    rows = (read("embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
+    found = rasters.dilate(raster(read).where("value > 0.3"), 2, rows, 64)
+    return found.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
+
+
 @query("jon_12_in_rings", """SELECT pid, rid FROM (SELECT c_custkey AS pid, c_custkey * 13 % 950 + 0.25 AS px, c_custkey * 29 % 950 + 0.5 AS py FROM customer)
     JOIN (SELECT s_suppkey AS rid, s_suppkey * 37 % 900 AS mx, s_suppkey * 91 % 900 AS my, 20 + s_suppkey % 30 AS w FROM supplier) ON abs(px - mx) + abs(py - my) < w""")
 def _(read):
