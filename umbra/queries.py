@@ -188,6 +188,12 @@ def _(read):
     return graph.cut_ways(nodes(read)).withColumn("length_m", F.round("length_m", 6))
 
 
+@query("gra_01_walk_graph")
+def _(read):
+    blocked = read("part").where("p_partkey % 97 = 0").select(F.col("p_partkey").alias("node_id"))
+    return graph.walk_graph(nodes(read), blocked).withColumn("length_m", F.round("length_m", 6))
+
+
 @query("agg_04_components")
 def _(read):
     length = F.col("l_quantity").cast("double").alias("length_m")
