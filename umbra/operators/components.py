@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Each round first links a node's larger neighbours to its smallest one (large star), then its smaller
     neighbours (small star); the edges become one star per component after about log(n) rounds. Every step is a
     grouped minimum (combined inside map tasks) and an equi-join that adaptive execution may split, so a hub of any
-    degree stays in pieces. Only one count and one checksum a round reach the driver. Null ends and loops are ignored.
+    degree stays in pieces. Only one count and one checksum a round reach the driver. Null ends and loops are ignored. Raises if ``most_rounds``
+    rounds don't settle it.
     """
     pairs = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
     nodes_alone = edges.where(F.col(src) == F.col(dst)).select(F.col(src).alias("node"))
@@ -39,6 +40,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         before, seen = seen, mark(pairs)
         if before == seen:
             break
+    else:
+        raise RuntimeError(f"the components did not settle in {most_rounds} rounds")
     stars = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component"))
     alone = nodes_alone.select("node", F.col("node").alias("component"))
