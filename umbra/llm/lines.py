@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from umbra.shared import stash, within
 
-#: Characters that a line needs for near matching, characters in a block, and line hashes sent to every task at most.
-NEAR_CHARS, BLOCK, MOST_SENT = 20, 32, 2_000_000
+#: Characters that a line needs for near matching, and characters in a block.
+NEAR_CHARS, BLOCK = 20, 32
 
 _TRIMMED = " \t\x0b\x0c\r"
 
@@ -67,7 +67,7 @@ def _near_lines(source: DataFrame, lite: DataFrame, near_chars: int) -> DataFram
     """h1 of the lines that an earlier line is within one edit of."""
     halves = lite.where(F.col("halves").isNotNull()).select("h1", F.explode("halves").alias("key"))
     some = halves.join(_shared(halves), "key", "left_semi").select("h1").distinct()
-    some = within(stash(some, "lines-some"), MOST_SENT)
+    some = within(stash(some, "lines-some"))
     texts = source.select("dkey", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
     texts = texts.select("dkey", "at", F.btrim("raw", F.lit(_TRIMMED)).alias("line")).where(F.char_length("line") >= near_chars)
     texts = texts.withColumn("h1", F.xxhash64("line")).join(some, "h1", "left_semi")

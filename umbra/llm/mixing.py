@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from umbra.llm.words import word_count
 from umbra.shared import stash
 
-#: Words in a block, and documents that a shard holds on average at most.
-BLOCK_WORDS, SHARD_DOCS = 128, 4096
+#: Words in a block at most, blocks that the smallest target has at least, and documents that a shard holds on average at most.
+BLOCK_WORDS, LEAST_BLOCKS, SHARD_DOCS = 128, 16, 4096
 
 
 def _draw(*parts: Column) -> Column:
@@ -84,7 +84,8 @@ def mix_sources(
 
     Each source is dealt into shards by a seeded digest of the id; a shard's documents in digest order form a tape of
     words that is cut into equal blocks. Sources share out the blocks by Sainte-Lague, then each source's shards
-    share out its quota the same way, never beyond ``most`` times the shard. A shard takes whole laps of its
+    share out its quota the same way, never beyond ``most`` times the shard. A block has ``block_words`` words, fewer
+    where the smallest target has not ``LEAST_BLOCKS`` of them, so that small sources are not rounded away. A shard takes whole laps of its
     tape first and the rest as consecutive blocks from a seeded block on, so a document gives at most
     ceil(``most``) times its size and the sum over a source is quota times block. Tapes are closed form: no block rows.
 
@@ -97,29 +98,32 @@ def mix_sources(
     targets = source_targets(sizes, weights, share, most)
     n_shards = F.ceil(F.col("n_docs") / F.lit(shard_docs)).cast("long")
     targets = targets.withColumn("n_shards", n_shards)
+    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(W.partitionBy())
+    block = F.least(F.lit(block_words), F.greatest(F.floor(least / LEAST_BLOCKS), F.lit(1)))
+    targets = targets.withColumn("block", F.coalesce(block, F.lit(block_words)).cast("long"))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     placed = sizes.withColumn("digest", digest)
     placed = placed.join(targets, same(placed, targets)).drop(targets["source"])
     placed = placed.withColumn("shard", F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % F.col("n_shards"))
 
-    shards = placed.groupBy("rank", "shard", "source_size", "target").agg(F.sum("size").alias("shard_size"))
-    shards = shards.withColumn("most_blocks", F.floor(F.col("shard_size") * F.lit(float(most)) / block_words).cast("long"))
-    sources = shards.groupBy("rank", "target").agg(F.sum("most_blocks").alias("most_blocks"))
-    sources = sources.withColumn("seats", F.round(F.sum("target").over(W.partitionBy()) / block_words).cast("long")).withColumn("all", F.lit(1))
+    shards = placed.groupBy("rank", "shard", "source_size", "target", "block").agg(F.sum("size").alias("shard_size"))
+    shards = shards.withColumn("most_blocks", F.floor(F.col("shard_size") * F.lit(float(most)) / F.col("block")).cast("long"))
+    sources = shards.groupBy("rank", "target", "block").agg(F.sum("most_blocks").alias("most_blocks"))
+    sources = sources.withColumn("seats", F.round(F.sum("target").over(W.partitionBy()) / F.col("block")).cast("long")).withColumn("all", F.lit(1))
     won = apportion(sources, ["all"], ["rank"], "target", "seats", "most_blocks").select("rank", F.col("quota").alias("seats"))
     fair = F.when(F.col("source_size") > 0, F.col("target") * F.col("shard_size") / F.col("source_size")).otherwise(F.lit(0.0))
     quotas = apportion(shards.join(won, "rank").withColumn("fair", fair), ["rank"], ["shard"], "fair", "seats", "most_blocks")
-    quotas = quotas.select("rank", "shard", "shard_size", "quota")
+    quotas = quotas.select("rank", "shard", "shard_size", "quota", F.col("block").alias("own_block"))
 
     tape = W.partitionBy("rank", "shard").orderBy("digest", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
     laid = placed.withColumn("stop", F.sum("size").over(tape)).withColumn("start", F.col("stop") - F.col("size"))
     laid = laid.join(quotas, ["rank", "shard"])
-    words = F.col("quota") * F.lit(block_words)
+    words = F.col("quota") * F.col("own_block")
     laps = F.when(F.col("shard_size") > 0, F.floor(words / F.col("shard_size"))).otherwise(F.lit(0)).cast("long")
     laid = laid.withColumn("laps", laps).withColumn("rest", words - F.col("laps") * F.col("shard_size"))
-    blocks = F.greatest(F.floor(F.col("shard_size") / F.lit(block_words)), F.lit(1)).cast("long")
-    first = (_draw(F.lit(str(seed)), F.col("rank").cast("string"), F.col("shard").cast("string")) % blocks) * block_words
+    blocks = F.greatest(F.floor(F.col("shard_size") / F.col("own_block")), F.lit(1)).cast("long")
+    first = (_draw(F.lit(str(seed)), F.col("rank").cast("string"), F.col("shard").cast("string")) % blocks) * F.col("own_block")
     laid = laid.withColumn("first", first).withColumn("last", F.col("first") + F.col("rest"))
     cut = lambda lo, hi: F.greatest(F.least(F.col("stop"), hi) - F.greatest(F.col("start"), lo), F.lit(0))
     taken = F.col("laps") * F.col("size") + cut(F.col("first"), F.least("last", "shard_size")) + cut(F.lit(0), F.col("last") - F.col("shard_size"))

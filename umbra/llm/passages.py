@@ -9,7 +9,7 @@ Both look for windows (of words or of bytes) whose content also starts elsewhere
 4. The windows found to repeat are marked in all occurrences of their segments, and documents drop what marked
    windows cover.
 
-What each step finds is written to the shared folder and the shuffle behind it released. Text is dealt out by document
+What each step finds is written to the shared folder, which ends the shuffles behind it. Text is dealt out by document
 key twice: to make segments, and to look into them and remove what repeats, which reuse one exchange. No step gathers a key's
 rows in memory: repeats are found in a stream sorted by key, and where a task meets a key again, all but
 the first of its rows go to a task drawn at random, already known to repeat.
@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.shared import release, stash
+from umbra.llm.batches import small_batches
+from umbra.shared import stash
 
 #: Odd bases of two polynomial hashes modulo 2**64 and their inverses.
 BASES = tuple(np.uint64(b) for b in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95))
@@ -156,23 +157,21 @@ def remove_repeats(
     A segment whose anchor has no other variant repeats as a whole or, where its weight is 1, not at all; only
     anchors with variants are looked into.
     """
+    small_batches(docs.sparkSession)
     source = keyed_documents(docs, id_col, text_col)
     named = source.select("dkey", "text").mapInArrow(anchors, "key long, many boolean, again boolean, dkey long, pos int")
     left = stash(repeats(named), tag)
-    release(docs.sparkSession)
     positions = left.groupBy("dkey").agg(F.collect_set("pos").alias("positions"))
     segments = texts_with(source, positions).mapInArrow(
         occurrences, "akey long, s1 long, dkey long, version int, pos int, lo int, n int"
     )
     segments = stash(segments, tag)
-    release(docs.sparkSession)
     folded = segments.groupBy("akey", "s1").agg(
         F.count(F.lit(1)).alias("weight"), *(F.first(c).alias(c) for c in ("dkey", "version", "pos", "lo", "n"))
     )
     folded = stash(folded, tag)
     variants = folded.groupBy("akey").agg(F.count(F.lit(1)).alias("variants"))
     told = stash(folded.join(variants, "akey"), tag)
-    release(docs.sparkSession)
     settled = told.where("variants = 1 AND weight > 1").select("akey", "s1", whole.alias("marks"))
     marks = look_into(source, told.where("variants > 1")).union(settled)
     marked: Column = F.struct("version", "lo", "marks")

@@ -10,13 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from umbra.llm.batches import small_batches
 from umbra.llm.hashing import mixed, unigrams_and_bigrams, word_hashes
 from umbra.shared import within
 
 #: Hash bits of the n-gram buckets, and the length-normalised ratio (nats per n-gram) from which a document is kept.
 BITS, THRESHOLD = 14, -0.08
-#: Trusted ids that are sent to every task (about 50 MB); more are joined by a shuffle.
-MOST_SENT = 2_000_000
 #: N-grams a bucket of the raw distribution that the target multinomial starts from (its prior).
 PRIOR = 8.0
 
@@ -100,9 +99,10 @@ def quality_rules(
     Null text has no words and fails the base rules. Without any trusted document every ratio is zero. Repeated ids
     in ``trusted`` count once; repeated documents count each time. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     ids = trusted.select(F.col(id_col).alias("trusted_id")).distinct().withColumn("trusted", F.lit(True))
     marked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ids = within(ids, MOST_SENT)
+    ids = within(ids)
     marked = marked.join(ids, marked["doc_id"] == ids["trusted_id"], "left").select("doc_id", "text", "trusted")
     weights = ratio_weights(ngram_counts(marked, "text", "trusted", bits), bits)
     held = docs.sparkSession.sparkContext.broadcast(weights)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from umbra.llm.batches import small_batches
 from umbra.operators.components import connected_components
 from umbra.shared import stash
 
@@ -54,7 +55,7 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,6 +181,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shingle. Rows with a null id get a fingerprint and a null component unless an equal or linked fingerprint has an
     id. Rows repeated with one id share its component. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     own = stash(fingerprints(docs, id_col, text_col), "simhash-fp")
     distinct = stash(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
     keyed = distinct.where("rep IS NOT NULL").select(F.explode(ring_keys(F.col("fp"))).alias("key"), "fp", "rep")

@@ -10,14 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.batches import pieces
+from umbra.llm.batches import pieces, small_batches
 from umbra.shared import stash, within
 
 #: Labelled rows that the label model and the classifier are fitted on at most (a share of the ids by digest), lexicon
 #: entries that vote at most, and rows of labelled documents with an entry that it needs.
 MOST_TRAINING, MOST_VOTERS, LEAST_ROWS = 20_000, 384, 3
-#: Labels that are sent to every task (about 50 MB); more are joined by a shuffle.
-MOST_SENT = 2_000_000
 #: How often an entry is as frequent in toxic rows as in others, at least, to become a voter.
 LEAST_LIFT = 6.0
 #: Lengths (bytes) of the word beginnings that serve as stem patterns beside whole words.
@@ -141,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = labels.select(F.col(id_col).alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.where(may_train(F.col("label_id")) & F.col("toxic").isNotNull()).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    marks = within(marks, MOST_SENT)
+    marks = within(marks)
     training = stash(texts.join(marks, texts["doc_id"] == marks["label_id"]).select("doc_id", "text", "toxic"), "toxicity")
     place = {entry: i for i, entry in enumerate(_lexicon(training))}
     if not place:
@@ -187,6 +185,7 @@ def score_toxicity(
     wins; null labels are ignored; without labels of both kinds every score is the bias alone. Repeated documents
     are scored each time. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     place, weights, bias = train(docs, labels, id_col, text_col)
     width = len(place)
     types = dict(docs.dtypes)
