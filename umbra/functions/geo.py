@@ -23,7 +23,8 @@ def rounded(x: Column, digits: int = 0) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """Between both bounds; null stays null (least and greatest would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def to_xy(lat: Column, lon: Column) -> tuple[Column, Column]:

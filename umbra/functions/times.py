@@ -15,15 +15,26 @@ def days_since_2000(ts: Column) -> Column:
     return F.unix_millis(ts) / 86400000.0 - 0.5 + 2440588 - 2451545
 
 
+def _anomaly(days: Column) -> Column:
+    return F.radians(357.5291 + 0.98560028 * days)
+
+
+def _ecliptic(anomaly: Column) -> Column:
+    centre = F.radians(1.9148 * F.sin(anomaly) + 0.02 * F.sin(2 * anomaly) + 0.0003 * F.sin(3 * anomaly))
+    return anomaly + centre + F.radians(F.lit(102.9372)) + F.pi()
+
+
+def _declination(ecliptic: Column) -> Column:
+    return F.asin(F.sin(F.radians(F.lit(23.4397))) * F.sin(ecliptic))
+
+
 def sun_position(ts: Column, lat: float = CENTRE_LAT, lon: float = CENTRE_LON) -> tuple[Column, Column]:
     """Azimuth (from north, clockwise) and altitude in radians, by the usual low-precision series."""
     rad = F.radians
     days = days_since_2000(ts)
-    anomaly = rad(357.5291 + 0.98560028 * days)
-    centre = rad(1.9148 * F.sin(anomaly) + 0.02 * F.sin(2 * anomaly) + 0.0003 * F.sin(3 * anomaly))
-    ecliptic = anomaly + centre + rad(F.lit(102.9372)) + F.pi()
+    ecliptic = _ecliptic(_anomaly(days))
     tilt = rad(F.lit(23.4397))
-    declination = F.asin(F.sin(tilt) * F.sin(ecliptic))
+    declination = _declination(ecliptic)
     ascension = F.atan2(F.sin(ecliptic) * F.cos(tilt), F.cos(ecliptic))
     hour = rad(280.16 + 360.9856235 * days) + rad(F.lit(lon)) - ascension
     phi = rad(F.lit(lat))
@@ -54,3 +65,100 @@ def is_leaf_off(ts: Column) -> Column:
 def bucket(ts: Column, minutes: int) -> Column:
     """Number of the tumbling slot of so many minutes since the epoch."""
     return F.floor(F.unix_millis(ts) / (minutes * 60000))
+
+
+def local_seconds(ts: Column) -> Column:
+    """Seconds from 1970 to what local clocks show, as if they showed UTC; whatever the session's zone."""
+    return F.unix_seconds(ts) + offset_minutes(ts) * 60
+
+
+def local_date(ts: Column) -> Column:
+    return F.date_from_unix_date(F.floor(local_seconds(ts) / 86400).cast("int"))
+
+
+def local_minutes(ts: Column, step: int = 1) -> Column:
+    """Minutes from local midnight, down to a multiple of ``step``."""
+    return (F.floor(F.pmod(local_seconds(ts), F.lit(86400)) / (60 * step)) * step).cast("int")
+
+
+def _wall(date: Column, minutes: Column) -> Column:
+    return F.unix_date(date).cast("long") * 86400 + minutes * 60
+
+
+def _offset_at(seconds: Column) -> Column:
+    return offset_minutes(F.timestamp_seconds(seconds))
+
+
+def instant_of(date: Column, minutes: Column) -> Column:
+    """The instant of a local date and minutes: of a doubled hour the earlier, and an hour left out is taken an hour later."""
+    wall = _wall(date, minutes)
+    before, after = _offset_at(wall - 43200), _offset_at(wall + 43200)
+    early, late = wall - before * 60, wall - after * 60
+    return F.timestamp_seconds(F.when(_offset_at(early) == before, early).when(_offset_at(late) == after, late).otherwise(early))
+
+
+def late_instant_of(date: Column, minutes: Column) -> Column:
+    """As ``instant_of``, but of a doubled hour the later instant."""
+    wall = _wall(date, minutes)
+    return F.timestamp_seconds(wall - _offset_at(wall - _offset_at(wall) * 60) * 60)
+
+
+def _two(x: Column) -> Column:
+    return F.lpad(x.cast("long").cast("string"), 2, "0")
+
+
+def iso_local(ts: Column) -> Column:
+    """Local date and time with the offset, to the second."""
+    seconds, offset = F.pmod(local_seconds(ts), F.lit(86400)), offset_minutes(ts)
+    clock = F.concat_ws(":", _two(F.floor(seconds / 3600)), _two(F.floor(seconds % 3600 / 60)), _two(seconds % 60))
+    zone = F.concat(F.when(offset < 0, "-").otherwise("+"), _two(F.floor(F.abs(offset) / 60)), F.lit(":"), _two(F.abs(offset) % 60))
+    return F.concat(local_date(ts).cast("string"), F.lit("T"), clock, zone)
+
+
+def clock_text(minutes: Column) -> Column:
+    """HH:MM of minutes from midnight, within the day."""
+    inside = clamp(F.floor(minutes + 0.5), 0, 1439)
+    return F.concat(_two(F.floor(inside / 60)), F.lit(":"), _two(inside % 60))
+
+
+def parse_clock(raw: Column) -> Column:
+    """Minutes from midnight of H:MM or HH:MM; null for anything else."""
+    hours, minutes = (F.regexp_extract(raw, r"^(\d{1,2}):(\d{2})$", i).try_cast("int") for i in (1, 2))
+    return F.when((hours <= 23) & (minutes <= 59), hours * 60 + minutes)
+
+
+def is_date(raw: Column) -> Column:
+    """Whether text is a day of the calendar as YYYY-MM-DD."""
+    return raw.rlike(r"^\d{4}-\d{2}-\d{2}$") & raw.try_cast("date").isNotNull()
+
+
+def sun_times(ts: Column, lat: float = CENTRE_LAT, lon: float = CENTRE_LON) -> tuple[Column, Column]:
+    """Sunrise and sunset of the instant's local day as seconds from 1970; null where the sun stays on one side of the horizon."""
+    rad = F.radians
+    west, phi = -lon / 360.0, rad(F.lit(lat))
+    noon_utc = F.floor(local_seconds(ts) / 86400) + 0.5
+    days = noon_utc - 0.5 + 2440588 - 2451545
+    transit = 0.0009 + west + F.floor(days - 0.0009 - west + 0.5)
+    anomaly = _anomaly(transit)
+    ecliptic = _ecliptic(anomaly)
+    declination = _declination(ecliptic)
+    noon = transit + 0.0053 * F.sin(anomaly) - 0.0069 * F.sin(2 * ecliptic)
+    cosine = (F.sin(rad(F.lit(-0.833))) - F.sin(phi) * F.sin(declination)) / (F.cos(phi) * F.cos(declination))
+    half = F.when(F.abs(cosine) <= 1, F.acos(cosine)) / (2 * F.pi())
+    seconds = lambda day: (day + 0.5 - 2440588 + 2451545) * 86400.0
+    return seconds(noon - half), seconds(noon + half)
+
+
+def sun_info(ts: Column, lat: float = CENTRE_LAT, lon: float = CENTRE_LON) -> Column:
+    """azimuth_deg, altitude_deg, sunrise_s, sunset_s, is_day in one struct."""
+    azimuth, altitude = sun_position(ts, lat, lon)
+    rise, set_ = sun_times(ts, lat, lon)
+    return F.struct(
+        F.degrees(azimuth).alias("azimuth_deg"), F.degrees(altitude).alias("altitude_deg"), rise.alias("sunrise_s"), set_.alias("sunset_s"), (altitude > 0).alias("is_day")
+    )
+
+
+def arc_height(minutes: Column, sunrise: Column, sunset: Column) -> Column:
+    """The sun's height on its arc, 0 to 1: half a sine between sunrise and sunset."""
+    share = (minutes - sunrise) / (sunset - sunrise)
+    return F.when((minutes <= sunrise) | (minutes >= sunset), 0.0).otherwise(F.sin(F.pi() * share))

@@ -120,10 +120,11 @@ def _(read):
     return _ranges(read).select("route", "seq", "l_partkey", "l_suppkey", F.round("start_m", 6).alias("start_m"), F.round("end_m", 6).alias("end_m"))
 
 
-@query("agg_23_shade_ahead", f"""SELECT route, round(sum(a * (1 - least(1.0, sun))) / sum(a), 6) AS shade_ahead FROM (
+# Shares that lie halfway between two roundings are pushed up by far less than a digit: sums of doubles depend on their order.
+@query("agg_23_shade_ahead", f"""SELECT route, round(sum(a * (1 - least(1.0, sun))) / sum(a) + 1e-9, 6) AS shade_ahead FROM (
     SELECT route, sun, end_m - greatest(start_m, 400.0) AS a FROM ({_RANGES})) WHERE a > 1e-6 GROUP BY 1""")
 def _(read):
-    return routes.shade_ahead(_ranges(read), "route", F.lit(400.0), "sun").withColumn("shade_ahead", F.round("shade_ahead", 6))
+    return routes.shade_ahead(_ranges(read), "route", F.lit(400.0), "sun").withColumn("shade_ahead", F.round(F.col("shade_ahead") + 1e-9, 6))
 
 
 @query("agg_21_main_streets", """SELECT route, name, floor(m + 0.5) AS m, floor(100 * (1 - s / m) + 0.5) AS shade_pct FROM (SELECT *, row_number() OVER (PARTITION BY route ORDER BY m DESC, name) AS k FROM (

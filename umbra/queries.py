@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions import geo, text, times
 from umbra.operators import graph, sequences, spatial
-from umbra.plans import ahead, scenes, walks  # noqa: F401  (register their queries)
+from umbra.plans import ahead, clocks, scenes, walks, ways  # noqa: F401  (register their queries)
 from umbra.plans.registry import FIXES, NODES, ORACLES, POIS, QUERIES, RASTER, SEGMENTS, WALKERS, fixes, nodes, pois, query, raster, stand_in
 
 M = f"({geo.METRES_PER_DEGREE!r})"
@@ -220,11 +220,6 @@ def _(read):
     return read("events").select("event_id", F.round(factor, 9).alias("factor"))
 
 
-@query("dtm_01_offset", "SELECT event_id, 60 AS minutes FROM events")
-def _(read):
-    return read("events").select("event_id", times.offset_minutes(F.col("ts").cast("timestamp")).alias("minutes"))
-
-
 @query("str_05_clean_value", "SELECT p_partkey, nullif(substr(lower(trim(split_part(replace(p_type, ' ', ';'), ';', 1))), 1, 40), '') AS v FROM part")
 def _(read):
     return read("part").select("p_partkey", text.clean_value(F.replace("p_type", F.lit(" "), F.lit(";"))).alias("v"))
@@ -237,15 +232,16 @@ def _(read):
     return read("part").select("p_partkey", F.round(text.parse_metres(raw), 9).alias("m"))
 
 
-@query("str_09_distance", """SELECT p_partkey, CASE WHEN d >= 995 THEN replace(printf('%.1f', floor(d / 1000 * 10 + 0.5) / 10), '.', ',') || ' km' WHEN d < 15 THEN floor(d + 0.5)::BIGINT || ' m'
-    ELSE (floor(d / 10 + 0.5) * 10)::BIGINT || ' m' END AS t FROM (SELECT p_partkey, p_partkey % 400 * 7.0 AS d FROM part)""")
+@query("str_09_distance", """SELECT p_partkey, CASE WHEN d >= 995 THEN replace(printf('%.1f', floor(d / 1000 * 10 + 0.5) / 10), '.', ',') || ' km' WHEN d < 15 THEN greatest(1, floor(d + 0.5))::BIGINT || ' m'
+    ELSE (floor(d / 10 + 0.5) * 10)::BIGINT || ' m' END AS t FROM (SELECT p_partkey, p_partkey % 400 * 7.0 / 2.5 AS d FROM part)""")
 def _(read):
-    return read("part").select("p_partkey", text.distance_text(F.col("p_partkey") % 400 * 7.0).alias("t"))
+    return read("part").select("p_partkey", text.distance_text(F.col("p_partkey") % 400 * 7.0 / 2.5).alias("t"))
 
 
-@query("str_11_plural", """SELECT p_partkey, CASE WHEN p_partkey = 1 THEN 'schody' WHEN p_partkey % 10 BETWEEN 2 AND 4 AND NOT p_partkey % 100 BETWEEN 12 AND 14 THEN 'odcinki' ELSE 'odcinków' END AS w FROM part""")
+@query("str_11_plural", """SELECT p_partkey, CASE WHEN n = 1 THEN 'schody' WHEN n % 10 BETWEEN 2 AND 4 AND NOT n % 100 BETWEEN 12 AND 14 THEN 'odcinki' ELSE 'odcinków' END AS w
+    FROM (SELECT p_partkey, abs(floor((p_partkey % 300 - 60) / 2.0 + 0.5)) AS n FROM part)""")
 def _(read):
-    return read("part").select("p_partkey", text.plural(F.col("p_partkey"), "schody", "odcinki", "odcinków").alias("w"))
+    return read("part").select("p_partkey", text.plural((F.col("p_partkey") % 300 - 60) / 2.0, "schody", "odcinki", "odcinków").alias("w"))
 
 
 @query("str_07_clip", "SELECT doc_id, CASE WHEN length(text) > 60 THEN substr(text, 1, 59) || '…' ELSE text END AS t FROM documents")
@@ -253,9 +249,10 @@ def _(read):
     return read("documents").select("doc_id", text.clip(F.col("text"), 60).alias("t"))
 
 
-@query("str_19_assets", """SELECT page_id, len(list_distinct(regexp_extract_all(html, '(?:src|href)="([^"]+)"', 1))) AS n FROM pages""")
+@query("str_19_assets", """SELECT page_id, len(list_distinct(regexp_extract_all('<a href="/assets/' || page_id % 7 || '.js"><img src="/assets/1.js"><img src="/other.js">' || html, '(?:src|href)="(/assets/[^"]+)"', 1))) AS n FROM pages""")
 def _(read):
-    return read("pages").select("page_id", F.size(text.asset_urls(F.col("html"))).cast("long").alias("n"))
+    head = F.concat(F.lit('<a href="/assets/'), (F.col("page_id") % 7).cast("string"), F.lit('.js"><img src="/assets/1.js"><img src="/other.js">'))
+    return read("pages").select("page_id", F.size(text.asset_urls(F.concat(head, F.col("html")))).cast("long").alias("n"))
 
 
 @query("win_23_chat_runs", """SELECT conv_id, run, min(role) AS role, sum(length(text))::BIGINT AS chars FROM (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (
