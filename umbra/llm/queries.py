@@ -14,6 +14,7 @@ from umbra.llm.exact import exact_dedup
 from umbra.llm.language import score_language
 from umbra.llm.lines import line_dedup
 from umbra.llm.mixing import mix_sources
+from umbra.llm.packing import pack_documents
 from umbra.llm.quality import quality_rules
 from umbra.llm.simhash import simhash_components
 from umbra.llm.substrings import substring_dedup
@@ -69,6 +70,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
+    "op11_packing": op11_packing,
     "op13_filter_audit": op13_filter_audit,
 }
 
