@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -38,7 +39,7 @@ def test_cuts_cost_as_little_as_plain_program(seed):
     costs = [draw.choice([0.0, 0.0, 4.0, 32.0]) for _ in where]
     cutter, cuts = packing.Cutter(length), []
     for i in range(0, len(where), 37):
-        cutter.extend(where[i : i + 37], costs[i : i + 37])
+        cutter.extend(np.array(where[i : i + 37]), np.array(costs[i : i + 37]))
         cuts += cutter.settled()
     cuts += cutter.close()
     assert cuts[-1] == where[-1] and cuts == sorted(set(cuts))
@@ -48,12 +49,34 @@ def test_cuts_cost_as_little_as_plain_program(seed):
 def test_words_equal_library():
     tokenizer, words = Tokenizer.from_file(PATH), packing.Words(PATH)
     draw = random.Random(4)
-    alphabet = ["a", "B", "é", "é", "Σ", "ß", "漢", "🙂", "'s", "don't", "9", " ", "\n", "\x0b", " ", "\x1c", "́", "İ", "<|endoftext|>", "..", "\t  "]
+    alphabet = ["a", "B", "é", "é", "Σ", "ß", "漢", "🙂", "'s", "don't", "9", " ", "\n", "\x0b", " ", "\x1c", "́", "İ", "<|endoftext|>", "..", "\t  ", "I'LL", "x.y", "<|"]
     for _ in range(400):
         text = "".join(draw.choice(alphabet) for _ in range(draw.randrange(40)))
-        parts = text.encode().split()
-        words.learn(set(parts))
-        assert words.encode(parts)[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+        assert words.encode(pa.array([text]), 1)[0].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], text
+
+
+def test_words_of_a_table_equal_library():
+    """Ranks give the library's ids for every word of the documents and for words of few letters, whose merges compete."""
+    import pyarrow.parquet as pq
+
+    tokenizer, words, draw = Tokenizer.from_file(PATH), packing.Words(PATH), random.Random(6)
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()
+    texts += [" ".join("".join(draw.choices("aeistnéßаб漢.,-"[: draw.choice([3, 7, 15])], k=draw.randrange(1, 16))) for _ in range(2000))]
+    ids, sizes, _ = words.encode(pa.array(texts), 1)
+    want = [[*e.ids, 1] for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
+def test_sentences_of_texts():
+    words = packing.Words(PATH)
+    texts = [" One two.\n Three (four!)\t3.14 five? ", None, "End.", "no stop", ""]
+    ids, sizes, sentences = words.encode(pa.array(texts), 1)
+    whole = [[*Tokenizer.from_file(PATH).encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert ids.tolist() == sum(whole, []) and sizes.tolist() == [len(t) for t in whole]
+    firsts = [len(Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids) for t in ("One two.", "One two. Three (four!)", "One two. Three (four!) 3.14 five?", "End.")]
+    assert sentences.tolist() == [*firsts[:3], len(whole[0]) + len(whole[1]) + firsts[3]]
+    where, cost = packing.places(np.array([3, 200]), np.array([5, 300]))
+    assert dict(zip(where.tolist(), cost.tolist())) == {3: 4.0, 5: 0.0, 69: 32.0, 133: 32.0, 197: 32.0, 200: 4.0, 264: 32.0, 305: 0.0}
 
 
 def _rows():
@@ -106,10 +129,10 @@ def test_settled_pieces_of_a_long_stream(monkeypatch):
     for d in range(500):
         ids = np.arange(draw.randrange(1, 150), dtype=np.uint32)
         docs.append(len(ids))
-        packer.add(d, ids, np.array(sorted(draw.sample(range(len(ids) + 1), min(len(ids), 4)))))
+        packer.add([d], ids, np.array([len(ids)]), np.array(sorted(draw.sample(range(len(ids) + 1), min(len(ids), 4)))))
         if packer.ready():
             found.append(packer.settled())
-    assert len(packer.docs) < 100
+    assert len(packer.doc_ids) < 100
     found.append(packer.close())
     rows = [(d, s, n) for f in found if f for d, s, n in zip(f["doc_id"], f["start"], f["length"])]
     for d, size in enumerate(docs):
