@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from umbra.llm import alignment
+from umbra.llm import alignment, bytelevel
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ALPHABET = ["a", "the", " the", "B", "é", "é", "漢", "🙂", "'s", "12", " ", "  ", "\n", "\x0b", " ", "\x1c", "\x85", "　", "İ", "<|endoftext|>", "<s>", "..", "\t"]
@@ -27,16 +27,16 @@ def libraries():
 
 
 def test_ids_equal_libraries(libraries):
-    a, b = alignment.byte_level(A), alignment.word_piece(B)
+    a, b = alignment.ByteLevel(A), alignment.WordPiece(B)
     draw = random.Random(3)
     texts = [_text(draw) for _ in range(500)] + ["a b▁c▁▁ d", " lead", "trail  ", "\n", "<0x0A>"]
-    assert [x.tolist() for x in a.encode(texts)[0]] == [e.ids for e in libraries[0].encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in a.encode(texts)] == [e.ids for e in libraries[0].encode_batch([" " + t for t in texts], add_special_tokens=False)]
     wanted = [ids for t, ids in zip(texts, libraries[1].encode(texts)) if t]
-    assert [x.tolist() for t, x in zip(texts, b.encode(texts)[0]) if t] == wanted
+    assert [x.tolist() for t, x in zip(texts, b.encode(texts)) if t] == wanted
 
 
 def _brute(rows, libraries):
-    shown = alignment.byte_characters()
+    shown = bytelevel.byte_characters()
     docs, counts = [], Counter()
     for doc_id, text in rows:
         text = text or ""
@@ -100,7 +100,7 @@ def test_blocks_in_slices(libraries):
     for tokens in (1, 5, 64, 1 << 17):
         with pytest.MonkeyPatch.context() as patch, duckdb.connect(config={"threads": 1}) as db:
             patch.setattr(alignment, "SLICE", tokens)
-            block = alignment.Block(db, alignment.byte_level(A), alignment.word_piece(B), True)
+            block = alignment.Block(db, alignment.ByteLevel(A), alignment.WordPiece(B), True)
             block.add([r[0] for r in rows], [r[1] for r in rows])
             columns, _, held = block.rows()
         brute = _brute(rows, libraries)

@@ -4,130 +4,118 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import re
 import tempfile
-from collections.abc import Callable, Iterator
-from itertools import chain
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm.batches import pieces, small_batches
+from umbra.llm.bytelevel import byte_characters
 from umbra.shared import stash
 
 #: Bytes of text and documents whose pairs get numbers together, and tokens that one DuckDB query joins.
-BLOCK_BYTES, BLOCK_DOCS, SLICE = 16 << 20, 1 << 16, 1 << 17
-#: Pieces whose ids a worker remembers for each tokenizer, and pieces encoded in one call.
-MOST_PIECES, AT_ONCE = 300_000, 2000
+BLOCK_BYTES, BLOCK_DOCS, SLICE = 4 << 20, 1 << 16, 1 << 17
+#: Words whose ids a worker remembers, and words encoded in one call.
+MOST_WORDS, AT_ONCE = 500_000, 2000
 DUCKDB_MEMORY = "400MB"
 
-#: White space of the first tokenizer's pattern (fixed values of Unicode).
-_WHITE = "\t-\r \x85\xa0  -     　"
 _SPACE = "▁"
+#: The split of the first tokenizer, as its file names it and as the library knows it by that name (fixed values).
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class ByteLevel:
+    """Ids of texts with a space before them, by a byte-level tokenizer file."""
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            settings = json.load(file)
+        if settings["normalizer"] is not None or settings["pre_tokenizer"] != _BYTE_LEVEL:
+            raise ValueError("the file must split texts at the usual byte-level pattern and change nothing in them")
+        special = {t["id"] for t in settings["added_tokens"]}
+        entries, characters = settings["model"]["vocab"], byte_characters()
+        self.vocabulary = [b""] * (max(entries.values()) + 1)
+        for entry, i in entries.items():
+            self.vocabulary[i] = entry.encode("utf-8") if i in special else bytes(characters[c] for c in entry)
+        self.sizes = np.array([len(t) for t in self.vocabulary], np.int64)
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in settings["model"]["merges"]]
+        if [entries[m] for m in merged] != list(range(256, 256 + len(merged))):
+            raise ValueError("ids must be in order of the merges")
+        ranks = {t: i for i, t in enumerate(self.vocabulary) if i not in special}
+        self.encoder = tiktoken.Encoding("bytes", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [self.encoder.encode_to_numpy(" " + t, disallowed_special=()).astype(np.int32) for t in texts]
+
+
+class WordPiece:
+    """Ids of texts by a SentencePiece model that puts a space before them."""
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        self.model = SentencePieceProcessor(model_file=path)
+        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        if any(_SPACE in name.lstrip(_SPACE) for name in names):
+            raise ValueError("the model has pieces that run from one word into the next")
+        self.vocabulary = [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace(_SPACE, " ").encode("utf-8") for i, n in enumerate(names)]
+        self.sizes = np.array([len(t) for t in self.vocabulary], np.int64)
+        self.known: dict[str, bytes] = {}
 
+    def _words(self, texts: list[str]) -> list[np.ndarray]:
+        """No piece runs over a space, so in texts with single spaces between words each word is encoded once."""
+        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        codes, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) + len(words) > MOST_WORDS:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        for at in range(0, len(new), AT_ONCE):
+            some = new[at : at + AT_ONCE]
+            self.known.update(zip(some, [array("i", ids).tobytes() for ids in self.model.encode(some, num_threads=1)], strict=True))
+        packed = list(map(self.known.__getitem__, words))
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        own = sizes[codes]
+        ends = np.cumsum(own)
+        ids = np.frombuffer(b"".join(packed), "<i4")[np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - own), own) + np.arange(ends[-1])]
+        last = np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))
+        return np.split(ids, ends[last - 1][:-1])
 
-def byte_characters() -> dict[str, int]:
-    """The characters that stand for bytes in byte-level vocabularies: visible ones for themselves, the others from 256 on."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [i for i, t in enumerate(texts) if t and t[0] != " " != t[-1] and "  " not in t and _SPACE not in t]
+        out: list = [None] * len(texts)
+        for i, ids in zip(plain, self._words([texts[i] for i in plain]) if plain else (), strict=True):
+            out[i] = ids
+        return [np.array(self.model.encode(t), np.int32) if ids is None else ids for t, ids in zip(texts, out, strict=True)]
 
 
-class Pieces:
-    """Ids of texts by pieces that never share a token, each encoded once; tells whether the tokens spell the text."""
+_tokenizers: dict[tuple[str, str], tuple[ByteLevel, WordPiece]] = {}
 
-    def __init__(self, vocabulary: list[bytes], split: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]], spelt: Callable[[str], bytes]):
-        self.vocabulary, self.split, self.many, self.spelt = vocabulary, split, encode, spelt
-        self.sizes = np.array([len(t) for t in vocabulary], np.int64)
-        self.known: dict[str, bytes] = {}
-        self.wrong: set[str] = set()
 
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-        """Ids of each text, and whether each piece's tokens are its bytes."""
-        split = [self.split(t) for t in texts]
-        needed = set(chain.from_iterable(split))
-        if len(self.known) + len(needed) > MOST_PIECES:
-            self.known.clear()
-            self.wrong.clear()
-        new = [p for p in needed if p not in self.known]
-        for at in range(0, len(new), AT_ONCE):
-            some = new[at : at + AT_ONCE]
-            for piece, ids in zip(some, self.many(some), strict=True):
-                self.known[piece] = np.array(ids, "<i4").tobytes()
-                if b"".join(self.vocabulary[i] for i in ids) != self.spelt(piece):
-                    self.wrong.add(piece)
-        get = self.known.__getitem__
-        ids = [np.frombuffer(b"".join(map(get, parts)), "<i4") for parts in split]
-        return ids, [not self.wrong or self.wrong.isdisjoint(parts) for parts in split]
-
-
-def byte_level(path: str) -> Pieces:
-    """Pieces of a byte-level tokenizer file, for texts with a space before them."""
-    from tokenizers import Tokenizer
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    with open(path, encoding="utf-8") as file:
-        entries = json.load(file)["model"]["vocab"]
-    characters = byte_characters()
-    vocabulary = [b""] * (max(entries.values()) + 1)
-    for entry, i in entries.items():
-        vocabulary[i] = bytes(characters[c] for c in entry) if all(c in characters for c in entry) else entry.encode()
-    # A token has white space only at its beginning, or is white space: the pattern never lets one run into another word.
-    found = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+").findall
-
-    def encode(some: list[str]) -> list[list[int]]:
-        encoded = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-        out: list[list[int]] = [[] for _ in some]
-        for owner, i in zip(encoded.word_ids, encoded.ids, strict=True):
-            out[owner].append(i)
-        return out
-
-    return Pieces(vocabulary, lambda t: found(" " + t), encode, lambda p: p.encode("utf-8"))
-
-
-def word_piece(path: str) -> Pieces:
-    """Pieces of a SentencePiece model that puts a space before texts."""
-    from sentencepiece import SentencePieceProcessor
-
-    model = SentencePieceProcessor(model_file=path)
-    names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-    if any(_SPACE in name.lstrip(_SPACE) for name in names):
-        raise ValueError("the model has pieces that run from one word into the next")
-    vocabulary = [bytes([int(n[3:5], 16)]) if model.is_byte(i) else n.replace(_SPACE, " ").encode("utf-8") for i, n in enumerate(names)]
-    found = re.compile(" +[^ ]*").findall
-    # The model reads its own sign for a space as a space; a text that has one is spelt differently and has no tokens.
-    split = lambda t: found(" " + t.replace(_SPACE, " "))
-    alone = [model.piece_to_id(_SPACE)]
-
-    def encode(some: list[str]) -> list[list[int]]:
-        # The model puts its space before anything but an empty text.
-        return [ids if len(p) > 1 else alone for p, ids in zip(some, model.encode([p[1:] for p in some], num_threads=1), strict=True)]
-
-    return Pieces(vocabulary, split, encode, lambda p: p.encode("utf-8"))
-
-
-_tokenizers: dict[str, Pieces] = {}
-
-
-def tokenizers_of(path_a: str, path_b: str) -> tuple[Pieces, Pieces]:
-    if path_a not in _tokenizers or path_b not in _tokenizers:
+def tokenizers_of(path_a: str, path_b: str) -> tuple[ByteLevel, WordPiece]:
+    """The worker's two tokenizers, built once."""
+    if (path_a, path_b) not in _tokenizers:
         _tokenizers.clear()
-        _tokenizers.update({path_a: byte_level(path_a), path_b: word_piece(path_b)})
-    return _tokenizers[path_a], _tokenizers[path_b]
+        _tokenizers[path_a, path_b] = ByteLevel(path_a), WordPiece(path_b)
+    return _tokenizers[path_a, path_b]
 
 
+#: Of two tokens that overlap, the one that begins later begins within the other. So an ASOF join gives each token of A the
+#: token of B that it begins in, and a second one, with the token's end as upper bound, each token of B that begins inside one of A.
 SPANS = """CREATE OR REPLACE TEMP TABLE spans AS
-    SELECT a.seq, a.doc, a.id, a.first, a.first_id, b.seq AS last, a.hi = b.hi AS cut
-    FROM (SELECT a.*, b.seq AS first, b.id AS first_id FROM a ASOF JOIN b ON a.lo >= b.lo) a ASOF JOIN b ON a.hi > b.lo"""
-GROUPS = "SELECT doc, last, cut, (sum(cut::INT) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) - cut::INT)::BIGINT AS grp FROM spans ORDER BY seq"
-PAIRS = """SELECT doc, a, b, count(*)::BIGINT AS links FROM (SELECT doc, id AS a, first_id AS b FROM spans
-    UNION ALL SELECT s.doc, s.id, b.id FROM spans s JOIN b ON b.seq > s.first AND b.seq <= s.last WHERE s.last > s.first) GROUP BY ALL"""
+    SELECT a.seq, a.doc, a.id AS a, b.id AS b, b.seq AS first, a.lo = b.lo AS same FROM a ASOF JOIN b ON a.lo >= b.lo"""
+INNER = "CREATE OR REPLACE TEMP TABLE inside AS SELECT b.doc, a.id AS a, b.id AS b FROM b ASOF JOIN a ON b.lo > a.lo WHERE b.lo < a.hi"
+GROUPS = "SELECT seq, doc, first, same, sum(same::INT) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING)::BIGINT AS grp FROM spans"
+PAIRS = "SELECT doc, a, b, count(*)::BIGINT AS links FROM (SELECT doc, a, b FROM spans UNION ALL SELECT doc, a, b FROM inside) GROUP BY ALL"
 
 
 def spelt(ids_a: np.ndarray, ids_b: np.ndarray, groups: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -135,9 +123,8 @@ def spelt(ids_a: np.ndarray, ids_b: np.ndarray, groups: dict[str, np.ndarray]) -
 
     Every token is written with the sign before it, a group's first with a semicolon.
     """
-    cut = groups["cut"]
-    in_a = np.bincount(groups["grp"], minlength=int(cut.sum()))
-    in_b = np.diff(np.append(-1, groups["last"][cut]))
+    in_a = np.bincount(groups["grp"])[1:]
+    in_b = np.diff(np.append(groups["first"][groups["same"]], len(ids_b)))
     ends_a, ends_b = np.cumsum(in_a), np.cumsum(in_b)
     order = np.empty(len(ids_a) + len(ids_b), np.int64)
     place_a = np.arange(len(ids_a)) + np.repeat(ends_b - in_b, in_a)
@@ -159,7 +146,7 @@ def spelt(ids_a: np.ndarray, ids_b: np.ndarray, groups: dict[str, np.ndarray]) -
 class Block:
     """Documents of a task whose pairs get numbers together; all in bytes laid end to end, so offsets tell documents apart."""
 
-    def __init__(self, db, a: Pieces, b: Pieces, keep_groups: bool):
+    def __init__(self, db, a: ByteLevel, b: WordPiece, keep_groups: bool):
         self.db, self.a, self.b, self.keep = db, a, b, keep_groups
         self.ids: list = []
         self.bytes = 0
@@ -168,14 +155,13 @@ class Block:
 
     def add(self, doc_ids: list, texts: list[str | None]) -> None:
         plain = [t or "" for t in texts]
-        whole_a, right_a = self.a.encode(plain)
-        whole_b, right_b = self.b.encode(plain)
         none = np.empty(0, np.int32)
-        for i, text in enumerate(plain):
-            right = text and _SPACE not in text and right_a[i] and right_b[i]
-            self.a_ids.append(whole_a[i] if right else none)
-            self.b_ids.append(whole_b[i] if right else none)
-            self.bytes += len(text)
+        for text, a, b in zip(plain, self.a.encode(plain), self.b.encode(plain), strict=True):
+            whole = (" " + text).encode("utf-8")
+            right = text and all(b"".join(map(side.vocabulary.__getitem__, ids.tolist())) == whole for side, ids in ((self.a, a), (self.b, b)))
+            self.a_ids.append(a if right else none)
+            self.b_ids.append(b if right else none)
+            self.bytes += len(whole)
         self.ids += doc_ids
 
     def full(self) -> bool:
@@ -203,39 +189,38 @@ class Block:
         hi_a, hi_b = np.cumsum(self.a.sizes[ids_a]), np.cumsum(self.b.sizes[ids_b])
         lo_a, lo_b = hi_a - self.a.sizes[ids_a], hi_b - self.b.sizes[ids_b]
         n_groups, digests, texts = np.zeros(n, np.int64), [hashlib.sha256() for _ in range(n)], [[] for _ in range(n)]
-        found, last_doc, crossed = [], -1, False
+        found, last_doc = [], -1
         for a0, a1, b0, b1 in self._slices(hi_a, hi_b):
             for name, lo, hi, doc, ids, x, y in (("a", lo_a, hi_a, docs_a, ids_a, a0, a1), ("b", lo_b, hi_b, docs_b, ids_b, b0, b1)):
                 table = {"seq": np.arange(y - x), "doc": doc[x:y], "id": ids[x:y], "lo": lo[x:y], "hi": hi[x:y]}
                 self.db.register(name, pa.table(table))
             self.db.execute(SPANS)
+            self.db.execute(INNER)
             groups = {k: np.asarray(v) for k, v in self.db.execute(GROUPS).fetchnumpy().items()}
+            in_order = np.argsort(groups["seq"], kind="stable")
+            groups = {k: v[in_order] for k, v in groups.items()}
             pairs = self.db.execute(PAIRS).fetchnumpy()
             found.append([np.asarray(pairs[k]).astype(np.int64) for k in ("doc", "a", "b", "links")])
-            owners = groups["doc"][groups["cut"]]
+            owners = groups["doc"][groups["same"]]
             n_groups += np.bincount(owners, minlength=n)
             text, begins = spelt(ids_a[a0:a1], ids_b[b0:b1], groups)
             here, at = np.unique(owners, return_index=True)
             ends = np.append(begins[at[1:]], len(text))
             for doc, begin, end in zip(here.tolist(), begins[at].tolist(), ends.tolist(), strict=True):
                 part = text[begin + (doc != last_doc) : end].tobytes()
-                crossed |= doc == last_doc
                 digests[doc].update(part)
                 if self.keep:
                     texts[doc].append(part)
                 last_doc = doc
         doc, a, b, links = (np.concatenate(c) for c in zip(*found, strict=True)) if found else [np.empty(0, np.int64)] * 4
-        key = a * len(self.b.vocabulary) + b
-        if crossed:
-            whole, back = np.unique(np.stack([doc, key]), axis=1, return_inverse=True)
-            doc, key, links = whole[0], whole[1], np.bincount(back.ravel(), links).astype(np.int64)
-        by_doc = np.argsort(doc, kind="stable")
-        pairs, index = np.unique(key[by_doc], return_inverse=True)
-        links = links[by_doc]
-        bounds = np.searchsorted(doc[by_doc], np.arange(n + 1))
+        width = len(self.a.vocabulary) * len(self.b.vocabulary)
+        whole, back = np.unique(doc * width + a * len(self.b.vocabulary) + b, return_inverse=True)
+        links = np.bincount(back, links).astype(np.int64)
+        doc, (pairs, index) = whole // width, np.unique(whole % width, return_inverse=True)
+        bounds = np.searchsorted(doc, np.arange(n + 1))
         most = np.where(links < 255, links, 255).astype(np.uint8)
         columns = {
-            "doc_id": self.ids, "n_a": sizes_a, "n_b": sizes_b, "n_groups": n_groups, "n_links": np.bincount(doc[by_doc], links, n).astype(np.int64),
+            "doc_id": self.ids, "n_a": sizes_a, "n_b": sizes_b, "n_groups": n_groups, "n_links": np.bincount(doc, links, n).astype(np.int64),
             "groups_sha256": [d.hexdigest() if s else "" for d, s in zip(digests, sizes_a)],
             "pair_index": [index[x:y].astype("<u4").tobytes() for x, y in zip(bounds, bounds[1:])],
             "pair_links": [most[x:y].tobytes() for x, y in zip(bounds, bounds[1:])],
@@ -301,7 +286,8 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
     groups wherever two tokens end together. A pair of ids counts as many documents as hold it linked. n_best are links whose pair no other pair of
     its ``a`` exceeds, count_sum adds the counts up over links. ``groups`` is the text ``a1,a2|b1;a3|b2``.
 
-    Each task lays the tokens of some megabytes of text end to end and joins the two interval tables in DuckDB; it numbers the
+    Each task lays the tokens of some megabytes of text end to end and joins the two interval tables in DuckDB: each token of one side
+    with the token of the other that it begins in. It numbers the
     different pairs of a block, so documents carry numbers and a block sends each pair once. The counts come back
     by block; a block's documents and pairs are bounded by BLOCK_BYTES and its longest text.
 
