@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from umbra.functions.geo import in_ring
@@ -44,3 +45,29 @@ def composite(scenes: DataFrame) -> DataFrame:
     level = medians.agg(F.avg("mid").alias("level")).first()["level"]
     odd = scenes.join(medians, "scene").groupBy("row", "col").agg(F.median(F.col("value") - F.col("mid")).alias("odd"))
     return odd.select("row", "col", (F.lit(level) + F.col("odd")).alias("value"))
+
+
+def nearest_filled(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``cells`` (by, row, col, value) with every null or NaN value replaced by that of the nearest cell that has one.
+
+    Distance is the number of steps to cells that share a side; of equally near cells the first in order of rows and columns counts, as
+    in a search that starts from all cells with values at once. A grid without any value stays empty. The distance is a sum
+    over both axes, so the nearest of each column comes first, from two running values along it, and then the least of
+    distance minus and plus column, from two running minima along the row: four windows and no rounds.
+    """
+    by = by or []
+    value = F.when(F.isnan("value"), F.lit(None)).otherwise(F.col("value"))
+    down, across = W.partitionBy(*by, "col").orderBy("row"), W.partitionBy(*by, "row").orderBy("col")
+    here = F.when(value.isNotNull(), F.struct(F.col("row").alias("r"), F.col("col").alias("c"), value.alias("v")))
+    cells = cells.withColumn("seed", here)
+    cells = cells.withColumn("above", F.last("seed", ignorenulls=True).over(down.rowsBetween(W.unboundedPreceding, 0)))
+    cells = cells.withColumn("below", F.first("seed", ignorenulls=True).over(down.rowsBetween(0, W.unboundedFollowing)))
+    far = lambda s: F.when(F.col(s).isNotNull(), F.struct(F.abs(F.col("row") - F.col(s)["r"]).alias("d"), F.col(s).alias("s")))
+    cells = cells.withColumn("near", F.least(far("above"), far("below")))
+    shifted = lambda sign: F.when(F.col("near").isNotNull(), F.struct((F.col("near.d") + sign * F.col("col")).alias("d"), F.col("near.s").alias("s")))
+    west = F.min(shifted(-1)).over(across.rowsBetween(W.unboundedPreceding, 0))
+    east = F.min(shifted(1)).over(across.rowsBetween(0, W.unboundedFollowing))
+    cells = cells.withColumns({"west": west, "east": east})
+    back = lambda s, sign: F.when(F.col(s).isNotNull(), F.struct((F.col(s)["d"] + sign * F.col("col")).alias("d"), F.col(s)["s"].alias("s")))
+    best = F.least(back("west", 1), back("east", -1))
+    return cells.withColumn("value", F.coalesce(value, best["s"]["v"])).drop("seed", "above", "below", "near", "west", "east")
