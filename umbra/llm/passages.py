@@ -118,12 +118,16 @@ def repeats(rows: DataFrame) -> DataFrame:
 
 
 def keyed_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, dkey (never null), version (tells apart texts that share an id) and text as bytes."""
+    """doc_id, dkey, version and text as bytes.
+
+    dkey is a hash of id and text and version one of the text from another seed, 128 bits in all, so rows that share both are
+    repeats of one document; rows without an id are told apart by their texts, and ids may be of any type.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).alias("doc_id"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63) + 1)).alias("dkey"),
-        F.hash(text).alias("version"),
+        F.xxhash64(F.lit(1), F.col(id_col), text).alias("dkey"),
+        F.xxhash64(F.lit(2), text).alias("version"),
         F.encode(text, "utf-8").alias("text"),
     )
 
@@ -163,7 +167,7 @@ def remove_repeats(
     left = stash(repeats(named), tag)
     positions = left.groupBy("dkey").agg(F.collect_set("pos").alias("positions"))
     segments = texts_with(source, positions).mapInArrow(
-        occurrences, "akey long, s1 long, dkey long, version int, pos int, lo int, n int"
+        occurrences, "akey long, s1 long, dkey long, version long, pos int, lo int, n int"
     )
     segments = stash(segments, tag)
     folded = segments.groupBy("akey", "s1").agg(
@@ -176,5 +180,5 @@ def remove_repeats(
     marks = look_into(source, told.where("variants > 1")).union(settled)
     marked: Column = F.struct("version", "lo", "marks")
     back = segments.select("akey", "s1", "dkey", "version", "lo").join(marks, ["akey", "s1"])
-    back = back.groupBy("dkey").agg(F.collect_list(marked).alias("found"))
+    back = back.groupBy("dkey").agg(F.collect_set(marked).alias("found"))
     return texts_with(source, back, "left").mapInArrow(apply, f"doc_id {dict(docs.dtypes)[id_col]}, {result}")

@@ -78,7 +78,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((roll(at, at + REACH, 1).view(np.int64), s1.view(np.int64), same + dkey.as_py(), same + version.as_py(), at, lo, hi - lo + 1))
         columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.empty(0, np.int64)] * 7
         yield pa.RecordBatch.from_arrays(
-            [*(pa.array(c) for c in columns[:3]), *(pa.array(c.astype(np.int32)) for c in columns[3:])],
+            [*(pa.array(c) for c in columns[:4]), *(pa.array(c.astype(np.int32)) for c in columns[4:])],
             names=["akey", "s1", "dkey", "version", "pos", "lo", "n"],
         )
 
@@ -218,7 +218,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compared by their hash and offset.
 
     Null text has no words; documents of fewer than 35 words lose nothing and match nothing. Rows repeated with the
-    same id and text are further documents and remove each other. Null ids are allowed. An empty table gives an
+    same id and text are further documents and remove each other. Ids may be null and of any type. An empty table gives an
     empty result.
     """
     return remove_repeats(

@@ -85,7 +85,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((roll(at, at + GRAM, 1).view(np.int64), s1.view(np.int64), same + dkey.as_py(), same + version.as_py(), at, lo, n))
         columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.empty(0, np.int64)] * 7
         yield pa.RecordBatch.from_arrays(
-            [*(pa.array(c) for c in columns[:3]), *(pa.array(c.astype(np.int32)) for c in columns[3:])],
+            [*(pa.array(c) for c in columns[:4]), *(pa.array(c.astype(np.int32)) for c in columns[4:])],
             names=["akey", "s1", "dkey", "version", "pos", "lo", "n"],
         )
 
@@ -337,7 +337,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are dealt out by 64 bits mixed from two hashes of the whole 200 bytes and met in a stream.
 
     Null text has no bytes; texts under 200 bytes lose nothing and match nothing. Rows repeated with the same id and
-    text are further documents and remove each other. Null ids are allowed. An empty table gives an empty result.
+    text are further documents and remove each other. Ids may be null and of any type. An empty table gives an empty result.
     """
     schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     ones = F.unhex(F.repeat(F.lit("FF"), F.ceil(F.col("n") / 8).cast("int")))
