@@ -47,9 +47,13 @@ def clip(text: Column, most: int) -> Column:
     return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)
 
 
+#: Every character that counts as white space besides control characters (fixed values).
+WHITE = r" \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+
+
 def sanitise(raw: Column) -> Column:
     """Control characters become spaces, white space is collapsed and trimmed, 120 characters at most."""
-    return clip(F.trim(F.regexp_replace(F.regexp_replace(raw, r"[\x00-\x1F\x7F]", " "), " +", " ")), 120)
+    return clip(F.trim(F.regexp_replace(F.regexp_replace(raw, r"[\x00-\x1F\x7F]", " "), f"[{WHITE}]+", " ")), 120)
 
 
 def distance_text(metres: Column) -> Column:

@@ -62,6 +62,36 @@ def roof_height(samples: DataFrame, key: str, value: str, least: int = 8) -> Dat
     return out.select(key, "n", F.when((F.col("n") >= least) & height.between(2, 150), height).alias("height"))
 
 
+#: Where a roof may be a crown above it (m, cells), the surroundings that tell so, and the lower roof seen through it.
+CROWNED, MOST_CROWNED_CELLS, LEAST_RING, LEAST_DIFFS = (6.0, 40.0), 200, 12, 4
+RING_SHARE, RING_HEIGHT, ROUGHNESS, LOW, FLATNESS, DENSE, REVEALED = 0.6, 0.6, 0.6, 0.15, 0.75, 0.9, 0.5
+ABOVE_BOTTOM, ROOFS = 0.5, (2.0, 150.0)
+
+
+def checked_roof(samples: DataFrame, bodies: DataFrame, key: str, least: int = 8) -> DataFrame:
+    """key, height of every body: its roof from samples (key, value, interior), or null where they don't tell.
+
+    The 85th percentile of the interior values (of all, if there are under ``least`` of them) to 0.1 must lie between 2 and 150 m and above the
+    body's ``bottom`` by more than 0.5. ``bodies`` also has ring_n, diffs_n, ring_fraction, ring_median_m and roughness_m of the
+    surroundings (null where unknown). A small body whose roof is rough, 6 to 40 m high and among plants of such a height has a
+    crown above it: then the 15th percentile counts, if it is half the roof at most and passes the same limits.
+    """
+    inner = F.when(F.col("interior"), F.col("value"))
+    low, p_inner, p_all = F.percentile("value", LOW), F.percentile(inner, 0.85), F.percentile("value", 0.85)
+    told = samples.where("value IS NOT NULL").groupBy(key).agg(F.count("value").alias("n"), F.count(inner).alias("n_inner"), p_inner.alias("p_inner"), p_all.alias("p_all"), low.alias("low"))
+    rows = bodies.join(told, key, "left")
+    roof = rounded(F.when(F.col("n_inner") >= least, F.col("p_inner")).otherwise(F.col("p_all")), 1)
+    enough = F.greatest("n_inner", "n") >= least
+    fits = lambda h: (h >= ROOFS[0]) & (h > F.col("bottom") + ABOVE_BOTTOM)
+    rows = rows.withColumn("roof", F.when(enough & fits(roof) & (roof <= ROOFS[1]), roof)).withColumn("lower", rounded(F.col("low"), 1))
+    flat = F.col("low") > FLATNESS * F.col("roof")
+    crowned = F.col("roof").between(*CROWNED) & (F.col("n") <= MOST_CROWNED_CELLS) & (F.col("ring_n") >= LEAST_RING) & (F.col("diffs_n") >= LEAST_DIFFS)
+    crowned &= ~(flat & (F.col("ring_fraction") < DENSE)) & (F.col("ring_fraction") >= RING_SHARE)
+    crowned &= (F.col("ring_median_m") >= RING_HEIGHT * F.col("roof")) & (F.col("roughness_m") >= ROUGHNESS)
+    seen = F.when(fits(F.col("lower")) & (F.col("lower") <= REVEALED * F.col("roof")), F.col("lower"))
+    return rows.select(key, F.when(F.coalesce(crowned, F.lit(False)), seen).otherwise(F.col("roof")).alias("height"))
+
+
 def ranked(df: DataFrame, part: list[str], order: list[Column], most: int) -> DataFrame:
     """The first ``most`` rows of each part."""
     return df.withColumn("place", F.row_number().over(W.partitionBy(*part).orderBy(*order))).where(F.col("place") <= most)

@@ -178,9 +178,10 @@ def _(read):
     return read("part").select(F.col("p_partkey").alias("id"), text.shade_phrase(F.col("p_partkey") % 101 / 100.0).alias("phrase"))
 
 
-@query("str_06_sanitise", r"SELECT doc_id, CASE WHEN length(t) > 120 THEN substr(t, 1, 119) || '…' ELSE t END AS label FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\x00-\x1F\x7F]', ' ', 'g'), ' +', ' ', 'g')) AS t FROM documents)")
+@query("str_06_sanitise", r"SELECT doc_id, CASE WHEN length(t) > 120 THEN substr(t, 1, 119) || '…' ELSE t END AS label FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(CASE doc_id % 3 WHEN 0 THEN replace(text, ' ', chr(160) || chr(12288)) ELSE text END, '[\x00-\x1F\x7F]', ' ', 'g'), '[ \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g')) AS t FROM documents)")
 def _(read):
-    return read("documents").select("doc_id", text.sanitise(F.col("text")).alias("label"))
+    spread = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit(" "), F.lit("\u00a0\u3000"))).otherwise(F.col("text"))
+    return read("documents").select("doc_id", text.sanitise(spread).alias("label"))
 
 
 @query("mth_01_rounding", "SELECT id, floor(x * 10 + 0.5) / 10 AS tenth, floor(x + 0.5) AS whole, greatest(-1.0, least(2.0, x)) AS within FROM (SELECT event_id AS id, CASE WHEN event_id % 17 > 0 THEN (event_id % 97 - 48) / 8.0::DOUBLE END AS x FROM events)".replace("greatest(-1.0, least(2.0, x))", "CASE WHEN x IS NOT NULL THEN greatest(-1.0, least(2.0, x)) END::DOUBLE"))

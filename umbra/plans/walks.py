@@ -67,11 +67,12 @@ def _ends() -> tuple[Column, Column, Column, Column]:
     return (key * 37 % 9000).cast("double"), (key * 11 % 5000).cast("double"), (key * 17 % 7000).cast("double"), (key * 53 % 8000).cast("double")
 
 
-@query("flt_24_routing_box", f"""SELECT id, round((least(x0, x1) - g) / {LM} + 19.9372, 6) AS west, round((greatest(y0, y1) + g) / {M} + 50.0614, 6) AS north FROM (
+@query("flt_24_routing_box", f"""SELECT id, round((least(x0, x1) - g) / {LM} + 19.9372, 6) AS west, round((greatest(y0, y1) + g) / {M} + 50.0614, 6) AS north,
+    round((greatest(x0, x1) + g) / {LM} + 19.9372, 6) AS east, round((least(y0, y1) - g) / {M} + 50.0614, 6) AS south FROM (
     SELECT *, greatest(450.0, least(900.0, 0.3 * d)) AS g FROM (SELECT *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS d FROM (
     SELECT c_custkey AS id, (c_custkey * 37 % 9000)::DOUBLE AS x0, (c_custkey * 11 % 5000)::DOUBLE AS y0, (c_custkey * 17 % 7000)::DOUBLE AS x1, (c_custkey * 53 % 8000)::DOUBLE AS y1 FROM customer)) WHERE d <= 8000)""")
 def _(read):
-    return routes.routing_box(read("customer"), *_ends()).select(F.col("c_custkey").alias("id"), F.round("west", 6).alias("west"), F.round("north", 6).alias("north"))
+    return routes.routing_box(read("customer"), *_ends()).select(F.col("c_custkey").alias("id"), *(F.round(c, 6).alias(c) for c in ("west", "south", "east", "north")))
 
 
 _LINE = f"""SELECT way_id, seq, x, y, sum(s) OVER (PARTITION BY way_id ORDER BY seq) AS cum FROM (
@@ -159,10 +160,11 @@ def _(read):
     return routes.smoothed(read("events"), "user_id", ["ts", "event_id"], "value").withColumn("mean", F.round("mean", 6))
 
 
-@query("win_20_dilate", f"""WITH s AS (SELECT DISTINCT "row" AS r, "col" AS q FROM ({RASTER}) WHERE value > 0.3 AND "row" < 100)
-    SELECT DISTINCT r + i AS "row", q + j AS "col" FROM s, (SELECT unnest(range(-2, 3)) AS i) a, (SELECT unnest(range(-2, 3)) AS j) b WHERE r + i BETWEEN 0 AND 99 AND q + j BETWEEN 0 AND 63""")
+@query("win_20_dilate", f"""WITH s AS (SELECT DISTINCT "row" AS r, "col" AS q FROM ({RASTER}) WHERE value > 0.3)
+    SELECT DISTINCT r + i AS "row", q + j AS "col" FROM s, (SELECT unnest(range(-3, 4)) AS i) a, (SELECT unnest(range(-3, 4)) AS j) b WHERE r + i BETWEEN 0 AND (SELECT max("row") FROM ({RASTER})) AND q + j BETWEEN 0 AND 63""")
 def _(read):
-    found = rasters.dilate(raster(read).where("value > 0.3 AND row < 100"), 2, 100, 64)
+    rows = (read("embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
+    found = rasters.dilate(raster(read).where("value > 0.3"), 3, rows, 64)
     return found.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
 
 

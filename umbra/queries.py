@@ -108,6 +108,23 @@ def _(read):
     return sequences.roof_height(read("part").select(F.col("p_brand").alias("building"), F.col("p_size").cast("double").alias("size")), "building", "size")
 
 
+_SHOWN = "(l_partkey * 7 % 31 * 0.5 + l_quantity / 8.0)::DOUBLE"
+
+
+@query("agg_08_checked_roof", f"""WITH s AS (SELECT l_partkey AS k, {_SHOWN} AS v, l_linenumber > 2 AS inside FROM lineitem),
+    t AS (SELECT k, count(*) AS n, count(*) FILTER (inside) AS ni, quantile_cont(v, 0.85) FILTER (inside) AS pi, quantile_cont(v, 0.85) AS pa, quantile_cont(v, 0.15) AS lo FROM s GROUP BY 1),
+    r AS (SELECT p_partkey AS k, n, lo, floor(lo * 10 + 0.5) / 10 AS lower, floor(CASE WHEN ni >= 8 THEN pi ELSE pa END * 10 + 0.5) / 10 AS raw, p_partkey % 5 * 3.0 AS bottom, p_partkey % 20 AS ring, p_partkey % 9 AS diffs,
+        p_partkey % 11 / 10.0 AS share, p_partkey % 13 AS mid, p_partkey % 4 * 0.4 AS rough FROM part LEFT JOIN t ON p_partkey = k),
+    h AS (SELECT *, CASE WHEN n >= 8 AND raw BETWEEN 2 AND 150 AND raw > bottom + 0.5 THEN raw END AS roof FROM r)
+    SELECT k AS building, CASE WHEN coalesce(roof BETWEEN 6 AND 40 AND n <= 200 AND ring >= 12 AND diffs >= 4 AND NOT (lo > 0.75 * roof AND share < 0.9) AND share >= 0.6 AND mid >= 0.6 * roof AND rough >= 0.6, false)
+        THEN CASE WHEN lower >= 2 AND lower > bottom + 0.5 AND lower <= 0.5 * roof THEN lower END ELSE roof END AS height FROM h""")
+def _(read):
+    samples = read("lineitem").select(F.col("l_partkey").alias("building"), (F.col("l_partkey") * 7 % 31 * 0.5 + F.col("l_quantity").cast("double") / 8.0).alias("value"), (F.col("l_linenumber") > 2).alias("interior"))
+    k = F.col("p_partkey")
+    around = [(k % 20).alias("ring_n"), (k % 9).alias("diffs_n"), (k % 11 / 10.0).alias("ring_fraction"), (k % 13).cast("double").alias("ring_median_m"), (k % 4 * 0.4).alias("roughness_m")]
+    return sequences.checked_roof(samples, read("part").select(k.alias("building"), (k % 5 * 3.0).alias("bottom"), *around), "building")
+
+
 @query("agg_12_block_stats", f"SELECT floor(\"row\" / 4)::BIGINT AS \"row\", floor(\"col\" / 4)::BIGINT AS \"col\", round(avg(value), 6) AS mean, max(value) AS top, count(value) AS n FROM ({RASTER}) GROUP BY 1, 2")
 def _(read):
     return sequences.block_stats(raster(read), 4).withColumn("mean", F.round("mean", 6))
@@ -200,11 +217,13 @@ def _(read):
     return graph.measured_components(read("lineitem").select(F.col("l_orderkey").alias("src"), (F.col("l_partkey") + 100_000_000).alias("dst"), length))
 
 
-@query("gra_03_shortest_paths")
+@query("gra_03_shortest_paths", f"""WITH RECURSIVE g AS MATERIALIZED ({search.EDGES}), d AS MATERIALIZED (SELECT src AS a, dst AS b, min(length_m) AS c FROM (SELECT src, dst, length_m FROM g UNION ALL SELECT dst, src, length_m FROM g) GROUP BY ALL),
+    l AS (SELECT 0 AS k, min(src) AS node, 0.0::DOUBLE AS cost FROM g UNION ALL SELECT k, node, min(cost) FROM (SELECT k + 1 AS k, b AS node, cost + c AS cost FROM l JOIN (FROM d UNION ALL SELECT DISTINCT a, a, 0.0 FROM d) ON node = a WHERE k < 24) GROUP BY ALL)
+    SELECT node, round(cost, 6) AS cost FROM l WHERE k = 24""")
 def _(read):
-    edges = graph.cut_ways(nodes(read)).select("src", "dst", F.col("length_m").alias("cost"))
+    edges = search.edges(read).select("src", "dst", F.col("length_m").alias("cost"))
     start = edges.agg(F.min("src").alias("node"))
-    return graph.shortest_paths(edges, start)
+    return graph.shortest_paths(edges, start).withColumn("cost", F.round("cost", 6))
 
 
 @query("dtm_08_sun_position")
