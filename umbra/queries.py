@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions import geo, text, times
 from umbra.operators import graph, sequences, spatial
-from umbra.plans import ahead, clocks, lines, rings, scenes, search, steps, tiles, unions, walks, ways  # noqa: F401  (register their queries)
+from umbra.plans import ahead, clocks, lines, rings, scenes, search, sessions, steps, tiles, unions, walks, ways  # noqa: F401  (register their queries)
 from umbra.plans.registry import FIXES, NODES, ORACLES, POIS, QUERIES, RASTER, SEGMENTS, WALKERS, fixes, nodes, pois, query, raster, stand_in
 
 M = f"({geo.METRES_PER_DEGREE!r})"
