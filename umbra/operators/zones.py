@@ -104,7 +104,9 @@ def snap(fixes: DataFrame, segments: DataFrame, part: str) -> DataFrame:
     both = fixes.join(segments, part).withColumn("len", length)
     all_t = F.when(F.col("len") == 0, 0.0).otherwise(clamp(raw, 0.0, 1.0))
     near_t = F.when(F.col("len") == 0, 0.0).otherwise(F.least(share(high), F.greatest(share(low), raw)))
-    place = lambda t: F.struct(F.hypot(F.col("px") - F.col("ax") - dx * t, F.col("py") - F.col("ay") - dy * t).alias("offset_m"), F.col("seg"), (F.col("cum") + F.col("len") * t).alias("along_m"))
+    # Micrometres decide, so that the common end of two segments is a tie.
+    away = lambda t: F.hypot(F.col("px") - F.col("ax") - dx * t, F.col("py") - F.col("ay") - dy * t)
+    place = lambda t: F.struct(F.floor(away(t) * 1e6).alias("um"), F.col("seg"), (F.col("cum") + F.col("len") * t).alias("along_m"), away(t).alias("offset_m"))
     inside = (F.col("cum") + F.col("len") >= low) & (F.col("cum") <= high)
     best = both.groupBy("fid").agg(F.min(place(all_t)).alias("any"), F.min(F.when(inside, place(near_t))).alias("near"))
     taken = F.when(F.col("near.offset_m") <= F.col("any.offset_m") + LEAD, F.col("near")).otherwise(F.col("any"))

@@ -108,7 +108,7 @@ def _(read):
     return sequences.roof_height(read("part").select(F.col("p_brand").alias("building"), F.col("p_size").cast("double").alias("size")), "building", "size")
 
 
-_SHOWN = "(l_partkey * 7 % 31 * 0.5 + l_quantity / 8.0)::DOUBLE"
+_SHOWN = "(l_partkey * 7 % 31 * 0.4871 + l_quantity::DOUBLE * 0.1237 + 0.0113)::DOUBLE"
 
 
 @query("agg_08_checked_roof", f"""WITH s AS (SELECT l_partkey AS k, {_SHOWN} AS v, l_linenumber > 2 AS inside FROM lineitem),
@@ -119,7 +119,7 @@ _SHOWN = "(l_partkey * 7 % 31 * 0.5 + l_quantity / 8.0)::DOUBLE"
     SELECT k AS building, CASE WHEN coalesce(roof BETWEEN 6 AND 40 AND n <= 200 AND ring >= 12 AND diffs >= 4 AND NOT (lo > 0.75 * roof AND share < 0.9) AND share >= 0.6 AND mid >= 0.6 * roof AND rough >= 0.6, false)
         THEN CASE WHEN lower >= 2 AND lower > bottom + 0.5 AND lower <= 0.5 * roof THEN lower END ELSE roof END AS height FROM h""")
 def _(read):
-    samples = read("lineitem").select(F.col("l_partkey").alias("building"), (F.col("l_partkey") * 7 % 31 * 0.5 + F.col("l_quantity").cast("double") / 8.0).alias("value"), (F.col("l_linenumber") > 2).alias("interior"))
+    samples = read("lineitem").select(F.col("l_partkey").alias("building"), (F.col("l_partkey") * 7 % 31 * 0.4871 + F.col("l_quantity").cast("double") * 0.1237 + 0.0113).alias("value"), (F.col("l_linenumber") > 2).alias("interior"))
     k = F.col("p_partkey")
     around = [(k % 20).alias("ring_n"), (k % 9).alias("diffs_n"), (k % 11 / 10.0).alias("ring_fraction"), (k % 13).cast("double").alias("ring_median_m"), (k % 4 * 0.4).alias("roughness_m")]
     return sequences.checked_roof(samples, read("part").select(k.alias("building"), (k % 5 * 3.0).alias("bottom"), *around), "building")
