@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,6 +71,11 @@ def canopy_height(tags: Column) -> Column:
     return rounded(clamp(F.coalesce(parse_metres(_tag(tags, "height")), F.lit(CANOPY_M)), 3.0, 45.0), 2)
 
 
+def once(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that is worked out once, however often ``make`` names it."""
+    return F.transform(F.array(value), make)[0]
+
+
 def _side(value: Column) -> Column:
     """yes, no or separate of what a tag says of one side."""
     return F.when(value == "separate", "separate").when(value.isin("no", "none"), "no").when(value.isNotNull(), "yes")
@@ -94,18 +101,25 @@ def sidewalk(left: Column, right: Column) -> Column:
 
 def side_offset(tags: Column, otherwise: Column) -> Column:
     """Metres from the axis to where one walks: by width, else lanes, else what the class says."""
-    width, lanes = parse_metres(_tag(tags, "width")), parse_count(_tag(tags, "lanes"))
-    beside = lambda across: clamp(across / 2 + KERB_M, 2.0, 15.0)
-    return F.when(width > 0, beside(width)).when(lanes > 0, beside(lanes * LANE_M)).otherwise(otherwise)
+    across = F.struct(parse_metres(_tag(tags, "width")).alias("width"), parse_count(_tag(tags, "lanes")).alias("lanes"))
+    beside = lambda m: clamp(m / 2 + KERB_M, 2.0, 15.0)
+    return once(across, lambda a: F.when(a["width"] > 0, beside(a["width"])).when(a["lanes"] > 0, beside(a["lanes"] * LANE_M)).otherwise(otherwise))
 
 
 def classify(tags: Column) -> Column:
     """kind, covered, sidewalk, side_offset_m, penalty, speed_factor of a way that one may walk; null for all others."""
+    return once(tags, lambda t: F.when(rules.may_walk(t), _of_walkable(t)))
+
+
+def _of_walkable(tags: Column) -> Column:
+    left, right = sidewalk_sides(tags)
     highway = _tag(tags, "highway")
-    name = F.regexp_replace(highway, "_link$", "")
+    known = F.struct(highway.alias("highway"), F.regexp_replace(highway, "_link$", "").alias("name"), left.alias("left"), right.alias("right"))
+    return once(known, lambda k: once(sidewalk(k["left"], k["right"]), lambda beside: _classified(tags, k["highway"], k["name"], k["left"], k["right"], beside)))
+
+
+def _classified(tags: Column, highway: Column, name: Column, left: Column, right: Column, beside: Column) -> Column:
     road = F.coalesce(name.isin(*ROADS), F.lit(False))
-    left, right = sidewalk_sides(tags)
-    beside = sidewalk(left, right)
     offset, unknown, none = (_look_up({k: v[i] for k, v in ROADS.items()}, name) for i in range(3))
     usable = lambda side: side.isNull() | (side == "yes")
     elsewhere = name.isin(*LEFT_OUT) & (beside == "separate") & ~usable(left) & ~usable(right)
@@ -127,7 +141,7 @@ def classify(tags: Column) -> Column:
         penalty.alias("penalty"),
         F.when(highway == "steps", STEPS_SPEED).otherwise(1.0).alias("speed_factor"),
     )
-    return F.when(rules.may_walk(tags) & kind.isNotNull(), made)
+    return F.when(kind.isNotNull(), made)
 
 
 def _walked(tags: Column, key: str, street: Column) -> Column:
