@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions.geo import in_ring
 from umbra.operators.spatial import box_cells, cell
+from umbra.shared import within
 
 
 def dilate(cells: DataFrame, radius: int, rows: int, cols: int) -> DataFrame:
@@ -30,13 +31,15 @@ def outside_coverage(points: DataFrame, raster: DataFrame, size: float) -> DataF
 def in_rings(points: DataFrame, rings: DataFrame, size: float) -> DataFrame:
     """Pairs of points (pid, px, py) and the rings (rid, ring of x, y) they lie in.
 
-    Rings are spread over the cells of their box, points look into their own cell: an equi-join, then the parity test.
+    Rings are spread over the cells of their box, points look into their own cell: an equi-join, then the parity test. Points
+    at one place and rings of one shape are tested once; few rings are sent to every task, so most pairs are never shuffled.
     """
     side = lambda pick, c: pick(F.transform("ring", lambda p: p[c]))
     box = [side(F.array_min, "x"), side(F.array_max, "x"), side(F.array_min, "y"), side(F.array_max, "y")]
-    spread = box_cells(rings, *box, size=size)
-    here = points.withColumn("cx", cell(F.col("px"), size)).withColumn("cy", cell(F.col("py"), size))
-    return here.join(spread, ["cx", "cy"]).where(in_ring(F.col("ring"), F.col("px"), F.col("py"))).select("pid", "rid")
+    spread = box_cells(rings.select("ring").distinct(), *box, size=size)
+    here = points.select("px", "py").distinct().withColumn("cx", cell(F.col("px"), size)).withColumn("cy", cell(F.col("py"), size))
+    met = here.join(spread.hint("merge"), ["cx", "cy"]).where(in_ring(F.col("ring"), F.col("px"), F.col("py"))).select("px", "py", "ring")
+    return points.join(met.hint("merge"), ["px", "py"]).join(within(rings.select("rid", "ring")), "ring").select("pid", "rid")
 
 
 def composite(scenes: DataFrame) -> DataFrame:
@@ -53,20 +56,22 @@ def nearest_filled(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     Distance is the number of steps to cells that share a side; of equally near cells the first in order of rows and columns counts, as
     in a search that starts from all cells with values at once. A grid without any value stays empty. The distance is a sum
     over both axes, so the nearest of each column comes first, from two running values along it, and then the least of
-    distance minus and plus column, from two running minima along the row: four windows and no rounds.
+    distance minus and plus column, from two running minima along the row: four windows and no rounds. All of them run from the
+    start, down or up, since a frame that reaches to the end is gone through again for every row.
     """
     by = by or []
     value = F.when(F.isnan("value"), F.lit(None)).otherwise(F.col("value"))
-    down, across = W.partitionBy(*by, "col").orderBy("row"), W.partitionBy(*by, "row").orderBy("col")
+    column, line = W.partitionBy(*by, "col"), W.partitionBy(*by, "row")
+    running = (W.unboundedPreceding, W.currentRow)
     here = F.when(value.isNotNull(), F.struct(F.col("row").alias("r"), F.col("col").alias("c"), value.alias("v")))
     cells = cells.withColumn("seed", here)
-    cells = cells.withColumn("above", F.last("seed", ignorenulls=True).over(down.rowsBetween(W.unboundedPreceding, 0)))
-    cells = cells.withColumn("below", F.first("seed", ignorenulls=True).over(down.rowsBetween(0, W.unboundedFollowing)))
+    cells = cells.withColumn("above", F.last("seed", ignorenulls=True).over(column.orderBy("row").rowsBetween(*running)))
+    cells = cells.withColumn("below", F.last("seed", ignorenulls=True).over(column.orderBy(F.desc("row")).rowsBetween(*running)))
     far = lambda s: F.when(F.col(s).isNotNull(), F.struct(F.abs(F.col("row") - F.col(s)["r"]).alias("d"), F.col(s).alias("s")))
     cells = cells.withColumn("near", F.least(far("above"), far("below")))
     shifted = lambda sign: F.when(F.col("near").isNotNull(), F.struct((F.col("near.d") + sign * F.col("col")).alias("d"), F.col("near.s").alias("s")))
-    west = F.min(shifted(-1)).over(across.rowsBetween(W.unboundedPreceding, 0))
-    east = F.min(shifted(1)).over(across.rowsBetween(0, W.unboundedFollowing))
+    west = F.min(shifted(-1)).over(line.orderBy("col").rowsBetween(*running))
+    east = F.min(shifted(1)).over(line.orderBy(F.desc("col")).rowsBetween(*running))
     cells = cells.withColumns({"west": west, "east": east})
     back = lambda s, sign: F.when(F.col(s).isNotNull(), F.struct((F.col(s)["d"] + sign * F.col("col")).alias("d"), F.col(s)["s"].alias("s")))
     best = F.least(back("west", 1), back("east", -1))
