@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from umbra.operators.scene import CROWN, CROWN_BARE, EYE, LEAST, MOST_RAY
 from umbra.operators.sequences import islands
 from umbra.operators.spatial import bilinear, cell
+from umbra.shared import within
 
 #: Longest ray through vegetation (m), most steps and most rise of one (m), full crown depth (m), lowest base (m) and its share of the top.
 VEGETATION_RAY, MOST_STEPS, STEP_RISE, DEPTH, LOW_BASE, BASE_SHARE = 200.0, 128, 2.0, 6.0, 2.0, 0.35
@@ -39,7 +40,8 @@ def behind_terrain(rays: DataFrame, terrain: DataFrame, size: float) -> DataFram
     px, py = F.col("x") + F.col("dx") * F.col("d"), F.col("y") + F.col("dy") * F.col("d")
     known = terrain.where("value IS NOT NULL AND NOT isnan(value)").select("row", "col")
     samples = at.select("rid", (F.col("level") + F.col("d") * F.col("slope")).alias("z"), px.alias("px"), py.alias("py")).withColumns({"row": cell(F.col("py"), size), "col": cell(F.col("px"), size)})
-    samples = samples.join(known, ["row", "col"], "left_semi")
+    # What a few columns of rays are spread into is far larger than it is estimated, so it is never sent to all tasks.
+    samples = samples.hint("merge").join(within(known), ["row", "col"], "left_semi")
     ground = bilinear(samples.select(F.struct("rid", "z").alias("pid"), (F.col("py") / size - 0.5).alias("r"), (F.col("px") / size - 0.5).alias("c")), terrain)
     return ground.where(F.col("pid.z") < F.col("value")).select("pid.rid").distinct()
 
@@ -57,7 +59,8 @@ def through_vegetation(rays: DataFrame, tops: DataFrame, size: float) -> DataFra
     at = up.where("reach > 0").withColumn("step", step).withColumn("d", F.explode(F.transform(F.sequence(F.lit(0), F.ceil(F.col("reach") / F.col("step")).cast("int") - 1), lambda k: k * F.col("step"))))
     middle = F.col("d") + F.col("step") / 2
     at = at.select("rid", (EYE + F.col("d") * F.col("slope")).alias("low"), (F.col("step") * F.col("slope")).alias("rise"), cell(F.col("y") + F.col("dy") * middle, size).alias("row"), cell(F.col("x") + F.col("dx") * middle, size).alias("col"))
-    met = at.join(tops.where(F.col("value") > LOW_BASE), ["row", "col"])
+    # What a few columns of rays are spread into is far larger than it is estimated, so it is never sent to all tasks.
+    met = at.hint("merge").join(within(tops.where(F.col("value") > LOW_BASE)), ["row", "col"])
     base = F.coalesce("base", F.greatest(F.lit(LOW_BASE), BASE_SHARE * F.col("value")))
     shared = F.least(F.col("low") + F.col("rise"), F.col("value")) - F.greatest(F.col("low"), base)
     depth = met.withColumn("shared", shared).where("shared > 0").groupBy("rid").agg(F.sum("shared").alias("depth"))
