@@ -69,7 +69,8 @@ def exposure(rays: DataFrame, bodies: DataFrame, trees: DataFrame, size: float =
     ``bodies`` (oid, kind 'building' or 'canopy', ring, top, bottom), ``trees`` (oid, x, y, height, radius, evergreen).
     No sun for an altitude of 0 or less, inside a building's ring or behind a building; canopies and crowns multiply,
     each once, to ``LEAST`` at least. Without bodies and trees the exposure is 1. Rays and sides meet in cells: an
-    equi-join that adaptive execution splits; what a ray meets is folded per object, then per ray.
+    equi-join that adaptive execution splits; what a ray meets is folded per object, then per ray. What is spread over cells is far
+    larger than it is estimated, so it is sorted and never sent to all tasks. A crown counts in the cell where the ray enters it.
     """
     flat = F.coalesce(F.col("leaf_off"), F.lit(False))
     up = rays.where("altitude > 0").select("rid", "x", "y", F.sin("azimuth").alias("dx"), F.cos("azimuth").alias("dy"), F.tan("altitude").alias("slope"), flat.alias("bare"))
@@ -81,7 +82,7 @@ def exposure(rays: DataFrame, bodies: DataFrame, trees: DataFrame, size: float =
     a, b = (F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by"))
     spread = box_cells(walls(bodies), F.least(a[0], b[0]), F.greatest(a[0], b[0]), F.least(a[1], b[1]), F.greatest(a[1], b[1]), size=size)
     d, u = _crossing(a, b)
-    met = passing.join(spread, ["cx", "cy"]).withColumn("d", d).withColumn("u", u).where("d >= 0 AND d <= reach AND u BETWEEN 0 AND 1")
+    met = passing.join(spread.hint("merge"), ["cx", "cy"]).withColumn("d", d).withColumn("u", u).where("d >= 0 AND d <= reach AND u BETWEEN 0 AND 1")
     met = met.withColumn("level", EYE + F.col("d") * F.col("slope")).where("level < top")
     solid = (F.col("kind") == "building") & ((F.col("level") >= F.col("bottom")) | _through_hanging())
     crossed = met.select("rid", "kind", "oid", solid.alias("dark"), F.when(F.col("kind") == "canopy", by_leaf(CAST, CAST_BARE)).alias("ln"))
@@ -89,21 +90,25 @@ def exposure(rays: DataFrame, bodies: DataFrame, trees: DataFrame, size: float =
     side = lambda pick, c: pick(F.transform("ring", lambda p: p[c]))
     area = box_cells(bodies, side(F.array_min, "x"), side(F.array_max, "x"), side(F.array_min, "y"), side(F.array_max, "y"), size=size)
     here = up.withColumn("cx", cell(F.col("x"), size)).withColumn("cy", cell(F.col("y"), size))
-    within = here.join(area, ["cx", "cy"]).where(in_ring(F.col("ring"), F.col("x"), F.col("y")))
+    within = here.join(area.hint("merge"), ["cx", "cy"]).where(in_ring(F.col("ring"), F.col("x"), F.col("y")))
     within = within.select("rid", "kind", "oid", (F.col("kind") == "building").alias("dark"), F.when(F.col("kind") == "canopy", by_leaf(INSIDE, INSIDE_BARE)).alias("ln"))
 
     half = F.least(F.col("radius"), F.col("height") / 2)
     crowns = trees.where("radius > 0 AND height > 0").select("oid", F.col("x").alias("tx"), F.col("y").alias("ty"), "radius", (F.col("height") - half).alias("mid"), (F.col("radius") / half).alias("flat"), F.coalesce("evergreen", F.lit(False)).alias("evergreen"))
-    box = [F.col("tx") - F.col("radius"), F.col("tx") + F.col("radius"), F.col("ty") - F.col("radius"), F.col("ty") + F.col("radius")]
+    wide = F.col("radius") + 1e-6
+    box = [F.col("tx") - wide, F.col("tx") + wide, F.col("ty") - wide, F.col("ty") + wide]
     ox, oy, oz, dz = F.col("x") - F.col("tx"), F.col("y") - F.col("ty"), (EYE - F.col("mid")) * F.col("flat"), F.col("slope") * F.col("flat")
-    seen = passing.join(box_cells(crowns, *box, size=size), ["cx", "cy"]).withColumn("qa", 1 + dz * dz).withColumn("qb", ox * F.col("dx") + oy * F.col("dy") + oz * dz)
+    seen = passing.join(box_cells(crowns, *box, size=size).hint("merge"), ["cx", "cy"]).withColumn("qa", 1 + dz * dz).withColumn("qb", ox * F.col("dx") + oy * F.col("dy") + oz * dz)
     seen = seen.withColumn("disc", F.col("qb") * F.col("qb") - F.col("qa") * (ox * ox + oy * oy + oz * oz - F.col("radius") * F.col("radius"))).where("disc > 0")
     far, near = (F.sqrt("disc") - F.col("qb")) / F.col("qa"), F.greatest((-F.sqrt("disc") - F.col("qb")) / F.col("qa"), F.lit(0.0))
     full = F.when(F.col("bare") & ~F.col("evergreen"), math.log(CROWN_BARE)).otherwise(math.log(CROWN))
-    crowned = seen.where((far > 0) & (near <= F.col("reach"))).select("rid", F.lit("tree").alias("kind"), "oid", F.lit(False).alias("dark"), (full * (far - near) * F.sqrt("qa") / (2 * F.col("radius"))).alias("ln"))
+    entered = (F.col("cx") == cell(F.col("x") + F.col("dx") * near, size)) & (F.col("cy") == cell(F.col("y") + F.col("dy") * near, size))
+    crowned = seen.where((far > 0) & (near <= F.col("reach")) & entered).select("rid", (full * (far - near) * F.sqrt("qa") / (2 * F.col("radius"))).alias("ln"))
+    crowned = crowned.groupBy("rid").agg(F.lit(False).alias("dark"), F.sum("ln").alias("ln"))
 
     # An object counts once; of a canopy the darker of inside and cast.
-    once = crossed.unionByName(within).unionByName(crowned).groupBy("rid", "kind", "oid").agg(F.bool_or("dark").alias("dark"), F.min("ln").alias("ln"))
+    once = crossed.unionByName(within).groupBy("rid", "kind", "oid").agg(F.bool_or("dark").alias("dark"), F.min("ln").alias("ln"))
+    once = once.select("rid", "dark", "ln").unionByName(crowned)
     folded = once.groupBy("rid").agg(F.bool_or("dark").alias("dark"), F.sum("ln").alias("ln"))
     share = F.when((F.col("altitude") <= 0) | F.col("altitude").isNull() | F.coalesce("dark", F.lit(False)), 0.0).otherwise(F.greatest(F.lit(LEAST), F.exp(F.coalesce("ln", F.lit(0.0)))))
     return rays.select("rid", "altitude").join(folded, "rid", "left").select("rid", share.alias("exposure"))
