@@ -108,7 +108,8 @@ def spaced_cuts(turns: DataFrame, keys: list[str], position: str) -> DataFrame:
     found = stash(near.withColumn("best", ahead), "cuts")
     own = found.select(*keys, F.col("at_m").alias("m"), F.lit(0).alias("asks"), F.col(position).alias("p"))
     asks = found.select(*keys, (F.col("best.at_m") + SPACING_M).alias("m"), F.lit(-1).alias("asks"), F.col(position).alias("p"))
-    following = F.first(F.when(F.col("asks") == 0, F.col("p")), ignorenulls=True).over(by.orderBy("m", "asks", "p").rowsBetween(1, W.unboundedFollowing))
+    # From the end on: a frame that reaches to the end is gone through again for every row.
+    following = F.last(F.when(F.col("asks") == 0, F.col("p")), ignorenulls=True).over(by.orderBy(F.desc("m"), F.desc("asks"), F.desc("p")).rowsBetween(W.unboundedPreceding, -1))
     item = lambda c: F.struct(*keys, F.col(c).alias("p"))
     nexts = own.unionByName(asks).withColumn("then", following).where("asks < 0")
     links = nexts.select(item("p").alias("item"), F.when(F.col("then").isNotNull(), item("then")).alias("parent"))
