@@ -7,7 +7,6 @@ trusted there; a word's probability mixes its gated counts, its plain count and
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count, islice
@@ -24,8 +23,8 @@ from umbra.shared import stash
 WINDOW, STRIDE, WIDTH = 32, 24, 16
 #: Clusters of documents; bits and numbers of a document's direction; ids with an input class of their own.
 CLUSTERS, BITS, PLACES, OWN = 8, 6, 8, 48
-#: Training: each document gives one in ``SHARE`` of its segments of ``SEGMENT`` bytes (one at least); rounds, passes over each.
-SHARE, SEGMENT, ROUNDS, EPOCHS = 12, 160, 3, 1
+#: Training: each document gives one in ``SHARE`` of its segments of ``SEGMENT`` bytes, which is all of them; rounds, passes over each.
+SHARE, SEGMENT, ROUNDS, EPOCHS = 1, 160, 3, 1
 #: Words whose counts go to every task; all others meet their counts in a join.
 HEAD = 200_000
 #: Weights of the plain count, of the subwords and, in shares of words seen once, of new words: the likeliest on training words.
@@ -384,17 +383,19 @@ def _own_words(text) -> list[bytes]:
 
 
 def _segments(text) -> list[list[bytes]]:
-    """One in ``SHARE`` of a text's segments, and one at least, by a draw that depends on the text alone; only these are split.
+    """All segments of a text, one at least, split into words; each word lies in one of them.
 
     A segment is what begins in ``SEGMENT`` consecutive bytes, from the first space on, and ends with a whole word.
     """
     data = text.as_buffer().to_pybytes()
     n = max(1, -(-len(data) // SEGMENT))
     found = []
-    for i in np.unique(np.random.default_rng(len(data) + zlib.crc32(data)).integers(0, n, -(-n // SHARE))).tolist():
+    for i in range(n):
         lo = data.find(b" ", i * SEGMENT - 1, (i + 1) * SEGMENT) + 1 if i else 0
+        if i and not lo:
+            continue
         hi = data.find(b" ", (i + 1) * SEGMENT - 1)
-        found.append(data[lo : hi if hi >= 0 else len(data)].lower().split() if lo or not i else [])
+        found.append(data[lo : hi if hi >= 0 else len(data)].lower().split())
     return found
 
 
@@ -517,9 +518,9 @@ class Mixture:
         value = value.when(c > 0, F.lit(known) * (c + 1.0) + F.lit(subwords) * spelling)
         return F.log10(value.otherwise(F.lit(10**-self.floor) + F.lit(fresh) * spelling))
 
-    def fit(self, sample: DataFrame, words: DataFrame) -> None:
+    def fit(self, judged: DataFrame, words: DataFrame) -> None:
         """Weights by likelihood of training words (key, lm, gated or null), each judged without its own occurrence."""
-        met = stash(sample.join(words.select("key", "n"), "key").select("lm", "gated", "n"), "language-fit")
+        met = stash(judged.join(words.select("key", "n"), "key").select("lm", "gated", "n"), "language-fit")
         share = F.pow(F.lit(10.0), F.col("lm")) * F.lit(float(self.n_all)) / F.col("n")
         known = met.agg(F.avg(share)).first()[0]
         if known is None:
@@ -598,7 +599,7 @@ def score_language(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         row = row[tokens.word]
         return row, np.einsum("ij,ij->i", gate, table[row])
 
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look_up = words_of(path)
         model, keys, _, table = held.value
         for batch in pieces(batches, 0, MOST_BYTES // 2):
@@ -609,7 +610,7 @@ def score_language(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             columns = [pa.array(tokens.keys[tokens.word[inner]]), pa.array(lm[inner]), pa.array(gated[inner].astype(float), mask=row[inner] < 0)]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "lm", "gated"])
 
-    mixture.fit(segments.where("number = 0").select("segment").mapInArrow(sampled, "key long, lm double, gated double"), words)
+    mixture.fit(segments.select("segment").mapInArrow(judged, "key long, lm double, gated double"), words)
     counts_weigh, base_weighs, _, subwords_weigh, _ = mixture.parts(mixture.choice)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
