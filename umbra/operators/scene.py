@@ -95,14 +95,17 @@ def exposure(rays: DataFrame, bodies: DataFrame, trees: DataFrame, size: float =
 
     half = F.least(F.col("radius"), F.col("height") / 2)
     crowns = trees.where("radius > 0 AND height > 0").select("oid", F.col("x").alias("tx"), F.col("y").alias("ty"), "radius", (F.col("height") - half).alias("mid"), (F.col("radius") / half).alias("flat"), F.coalesce("evergreen", F.lit(False)).alias("evergreen"))
+    # Crowns are small and low: finer cells, and rays only up to the tallest tree.
+    fine, highest = size / 4, trees.agg(F.max("height").alias("top")).first()["top"] or 0.0
+    low = up.withColumn("reach", F.least("reach", F.greatest(F.lit(0.0), (highest - EYE) / F.col("slope")) + 1e-6))
     wide = F.col("radius") + 1e-6
     box = [F.col("tx") - wide, F.col("tx") + wide, F.col("ty") - wide, F.col("ty") + wide]
     ox, oy, oz, dz = F.col("x") - F.col("tx"), F.col("y") - F.col("ty"), (EYE - F.col("mid")) * F.col("flat"), F.col("slope") * F.col("flat")
-    seen = passing.join(box_cells(crowns, *box, size=size).hint("merge"), ["cx", "cy"]).withColumn("qa", 1 + dz * dz).withColumn("qb", ox * F.col("dx") + oy * F.col("dy") + oz * dz)
+    seen = ray_cells(low, fine).join(box_cells(crowns, *box, size=fine).hint("merge"), ["cx", "cy"]).withColumn("qa", 1 + dz * dz).withColumn("qb", ox * F.col("dx") + oy * F.col("dy") + oz * dz)
     seen = seen.withColumn("disc", F.col("qb") * F.col("qb") - F.col("qa") * (ox * ox + oy * oy + oz * oz - F.col("radius") * F.col("radius"))).where("disc > 0")
     far, near = (F.sqrt("disc") - F.col("qb")) / F.col("qa"), F.greatest((-F.sqrt("disc") - F.col("qb")) / F.col("qa"), F.lit(0.0))
     full = F.when(F.col("bare") & ~F.col("evergreen"), math.log(CROWN_BARE)).otherwise(math.log(CROWN))
-    entered = (F.col("cx") == cell(F.col("x") + F.col("dx") * near, size)) & (F.col("cy") == cell(F.col("y") + F.col("dy") * near, size))
+    entered = (F.col("cx") == cell(F.col("x") + F.col("dx") * near, fine)) & (F.col("cy") == cell(F.col("y") + F.col("dy") * near, fine))
     crowned = seen.where((far > 0) & (near <= F.col("reach")) & entered).select("rid", (full * (far - near) * F.sqrt("qa") / (2 * F.col("radius"))).alias("ln"))
     crowned = crowned.groupBy("rid").agg(F.lit(False).alias("dark"), F.sum("ln").alias("ln"))
 
