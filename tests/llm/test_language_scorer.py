@@ -134,3 +134,35 @@ def test_held_out_documents_of_the_tables_gain(spark):
     found = queries.op7_language_model(spark, "/root/testdata/sf0.001").toPandas()
     held = found[found.held_out]
     assert (held.score > held.base_score).mean() > 0.5 and held.score.sum() > held.base_score.sum()
+
+
+def test_sums_of_logarithms_by_part():
+    draw = np.random.default_rng(4)
+    features, weights = draw.random((5000, 3)) * 1e-9, draw.random((7, 3))
+    starts = np.r_[0, np.sort(draw.choice(np.arange(1, 5000), 60, replace=False))]
+    want = np.add.reduceat(np.log10(features @ weights.T), starts, axis=0)
+    np.testing.assert_allclose(language._log_sums(features, weights, starts), want)
+    np.testing.assert_allclose(language._log_sums(features[:1200 * 16], weights, np.zeros(1, np.int64))[0], np.log10(features @ weights.T).sum(axis=0))
+
+
+def test_weights_are_fitted_without_a_row_for_each_word(spark, monkeypatch):
+    _, docs = _corpus(spark)
+    written, fitted, whole, fit = {}, [], language.stash, language.Mixture.fit
+
+    def stash(df, tag):
+        made = whole(df, tag)
+        written[tag] = made.count()
+        return made
+
+    def watched(self, rest, *args):
+        # Head words that training has twice or more come as sums, those it has once as rows, all others by the join.
+        fitted.append((rest.count(), args[1] if len(args) == 3 else 0))
+        return fit(self, rest, *args)
+
+    monkeypatch.setattr(language, "stash", stash)
+    monkeypatch.setattr(language.Mixture, "fit", watched)
+    language.score_language(docs, PATH).count()
+    inner = docs.where(language.may_train(F.col("doc_id"))).select(F.explode(F.split("text", " ")).alias("w")).groupBy("w").count()
+    total, once = inner.agg(F.sum("count"), F.count(F.when(F.col("count") == 1, 1))).first()
+    assert fitted == [(once, total - once)]
+    assert max(n for tag, n in written.items() if tag not in ("language-segments", "language-counts", "language-words")) <= 900

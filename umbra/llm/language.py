@@ -502,6 +502,7 @@ class Mixture:
         self.once = min(0.5, once)
         self.left = 1.0
         self.choice = (0.1, 0.01, 0.1 * self.once)
+        self.choices = [(a, b, c * self.once) for a in PLAIN for b in SUBWORDS for c in FRESH if a + b + c * self.once < 1]
 
     def parts(self, choice: tuple[float, float, float]) -> tuple[float, float, float, float, float]:
         """Weights: gated count of a head word; c+1 of a head word, and of another known word; subwords of a known word, of a new one."""
@@ -518,18 +519,41 @@ class Mixture:
         value = value.when(c > 0, F.lit(known) * (c + 1.0) + F.lit(subwords) * spelling)
         return F.log10(value.otherwise(F.lit(10**-self.floor) + F.lit(fresh) * spelling))
 
-    def fit(self, judged: DataFrame, words: DataFrame) -> None:
-        """Weights by likelihood of training words (key, lm, gated or null), each judged without its own occurrence."""
-        met = stash(judged.join(words.select("key", "n"), "key").select("lm", "gated", "n"), "language-fit")
+    def weights(self) -> np.ndarray:
+        """For each choice, the one to start with last, the weights of a counted head word's gated count, c+1 and subwords."""
+        return np.array([[parts[0], parts[1], parts[3]] for parts in map(self.parts, [*self.choices, self.choice])])
+
+    def fit(self, rest: DataFrame, shares: float, amount: float, sums: np.ndarray) -> int:
+        """Place of the likeliest weights on training words, each judged without its own occurrence; the last without any.
+
+        ``sums`` are the logarithms of head words that occur elsewhere too, ``shares`` and ``amount`` what they add to the mean that
+        tells what the subwords leave to new words; ``rest`` has lm and n of all others.
+        """
         share = F.pow(F.lit(10.0), F.col("lm")) * F.lit(float(self.n_all)) / F.col("n")
-        known = met.agg(F.avg(share)).first()[0]
-        if known is None:
-            return
-        self.left = float(np.clip(1 - known, self.once, 1))
-        c, in_head = F.col("n") - 1, F.col("gated").isNotNull()
-        choices = [(a, b, c * self.once) for a in PLAIN for b in SUBWORDS for c in FRESH if a + b + c * self.once < 1]
-        sums = met.agg(*(F.sum(self.of(c, in_head, F.col("gated") * c / F.col("n"), F.col("lm"), choice)) for choice in choices)).first()
-        self.choice = choices[int(np.argmax(sums))]
+        more, number = rest.agg(F.coalesce(F.sum(share), F.lit(0.0)), F.count(F.lit(1))).first()
+        if amount + number == 0:
+            return len(self.choices)
+        self.left = float(np.clip(1 - (shares + more) / (amount + number), self.once, 1))
+        c = F.col("n") - 1
+        met = rest.agg(*(F.coalesce(F.sum(self.of(c, F.lit(False), F.lit(0.0), F.col("lm"), choice)), F.lit(0.0)) for choice in self.choices)).first()
+        best = int(np.argmax(sums[: len(self.choices)] + np.array(met)))
+        self.choice = self.choices[best]
+        return best
+
+
+def _log_sums(features: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each part that begins at ``starts`` the sums of log10 of its rows' features times each choice's weights.
+
+    Up to 16 values, none below a hundredth of the base's smallest, are multiplied before a logarithm is taken.
+    """
+    at = np.arange(len(features)) - np.repeat(starts, np.diff(np.r_[starts, len(features)]))
+    blocks = np.flatnonzero(at % 16 == 0)
+    logs = np.empty((len(blocks), len(weights)))
+    for lo in range(0, len(blocks), 512):  # so that a step's arrays stay in the cache
+        some = blocks[lo : lo + 512]
+        end = blocks[lo + 512] if lo + 512 < len(blocks) else len(features)
+        logs[lo : lo + 512] = np.log10(np.multiply.reduceat(features[some[0] : end] @ weights.T, some - some[0], axis=0))
+    return np.add.reduceat(logs, np.searchsorted(blocks, starts), axis=0)
 
 
 def score_language(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -539,7 +563,8 @@ def score_language(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     projection of its subwords); cells are merged into ``CLUSTERS``. The attention model is trained to gate the clusters'
     subword counts on segments of every training document (``train_model``). Every text is scored in overlapping windows.
     A word's probability is a ``Mixture`` of its base, its subwords' product and its counts, for the ``HEAD`` most
-    frequent words by cluster under the gate; its weights are fitted on a segment of every training document. Counts of
+    frequent words by cluster under the gate; its weights are the likeliest on all training words,
+    found while scoring: a text's sum is taken for every choice of weights and the likeliest choice's stays. Counts of
     these words go to every task; all others meet their counts in a join.
 
     Null text counts as empty: its only token is the end. A null id counts as training. Repeated rows are scored, and
@@ -599,32 +624,33 @@ def score_language(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         row = row[tokens.word]
         return row, np.einsum("ij,ij->i", gate, table[row])
 
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look_up = words_of(path)
-        model, keys, _, table = held.value
-        for batch in pieces(batches, 0, MOST_BYTES // 2):
-            tokens = Tokens([segment.as_py().split() for segment in batch.column(0)], look_up)
-            lm, gate = model.word_scores(tokens)
-            row, gated = met(tokens, keys, table, gate)
-            inner = np.flatnonzero(~tokens.is_end)
-            columns = [pa.array(tokens.keys[tokens.word[inner]]), pa.array(lm[inner]), pa.array(gated[inner].astype(float), mask=row[inner] < 0)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "lm", "gated"])
-
-    mixture.fit(segments.select("segment").mapInArrow(judged, "key long, lm double, gated double"), words)
-    counts_weigh, base_weighs, _, subwords_weigh, _ = mixture.parts(mixture.choice)
+    weights = mixture.weights()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look_up = words_of(path)
         model, keys, amounts, table = held.value
-        for batch in pieces(batches, 1, MOST_BYTES):
-            tokens = Tokens([_own_words(text) for text in batch.column(1)], look_up)
+        for batch in pieces(batches, 2, MOST_BYTES):
+            tokens = Tokens([_own_words(text) for text in batch.column(2)], look_up)
             lm, gate = model.word_scores(tokens)
             row, gated = met(tokens, keys, table, gate)
             settled = row >= 0
             c = np.where(settled, amounts[row], 0)
             base = np.log10(c + 1.0) - floor
-            mix = np.log10(counts_weigh * gated + base_weighs * (c + 1.0) + subwords_weigh * 10**lm)
-            n = batch.num_rows
+            n, spelling = batch.num_rows, 10**lm
+            features = np.stack([gated, c + 1.0, spelling], axis=1)
+            own = np.flatnonzero(settled)
+            sums = np.zeros((n, len(weights)))
+            some, starts = np.unique(tokens.doc[own], return_index=True)
+            sums[some] = _log_sums(features[own], weights, starts)
+            # Training words without their own occurrence; those seen once are new without it and go to the rest.
+            trains = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)[tokens.doc] & settled & ~tokens.is_end
+            elsewhere, once = np.flatnonzero(trains & (c > 1)), np.flatnonzero(trains & (c == 1))
+            fit = np.zeros(2 + len(weights))
+            if len(elsewhere):
+                less = c[elsewhere] - 1.0
+                without = np.stack([gated[elsewhere] * less / c[elsewhere], less + 1.0, spelling[elsewhere]], axis=1)
+                fit = np.r_[(spelling[elsewhere] * n_all / c[elsewhere]).sum(), len(elsewhere), _log_sums(without, weights, np.zeros(1, np.int64))[0]]
+            offsets_once = np.r_[0, np.cumsum(np.bincount(tokens.doc[once], minlength=n))].astype(np.int32)
             total = lambda values: np.bincount(tokens.doc[settled], weights=values[settled], minlength=n)  # noqa: E731, B023
             rest = np.flatnonzero(~settled)
             offsets = np.r_[0, np.cumsum(np.bincount(tokens.doc[rest], minlength=n))].astype(np.int32)
@@ -635,16 +661,24 @@ def score_language(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     pa.array(np.bincount(tokens.doc, minlength=n)),
                     pa.array(total((c > 0).astype(float)).astype(np.int64)),
                     pa.array(total(base)),
-                    pa.array(total(mix)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(weights)), pa.array(sums.ravel())),
+                    pa.array([fit] + [None] * (n - 1), pa.list_(pa.float64())),
+                    pa.ListArray.from_arrays(pa.array(offsets_once), pa.array(lm[once].astype(np.float32))),
+                    batch.column(1),
                     pa.ListArray.from_arrays(pa.array(offsets), rare),
                 ],
-                names=["doc_id", "n_tokens", "known", "base", "mix", "rare"],
+                names=["doc_id", "n_tokens", "known", "base", "mixes", "fit", "once", "trains", "rare"],
             )
 
-    schema = f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens long, known long, base double, mix double, rare array<struct<key:long,lm:float>>"
-    first = stash(rows.select("doc_id", "text").mapInArrow(scored, schema).withColumn("row", F.monotonically_increasing_id()), "language-scores")
-    rare = first.select("row", F.explode("rare").alias("r")).select("row", "r.key", F.col("r.lm").alias("lm"))
-    joined = rare.join(words.select("key", "n"), "key", "left")
+    schema = f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens long, known long, base double, mixes array<double>, fit array<double>, once array<float>, trains boolean, rare array<struct<key:long,lm:float>>"
+    first = stash(rows.select("doc_id", "trains", "text").mapInArrow(scored, schema).withColumn("row", F.monotonically_increasing_id()), "language-scores")
+    rare = first.select("row", "trains", F.explode("rare").alias("r")).select("row", "trains", "r.key", F.col("r.lm").alias("lm"))
+    joined = stash(rare.join(words.select("key", "n"), "key", "left").select("row", "trains", "lm", "n"), "language-rare")
+    rest = joined.where("trains").select("lm", "n").unionByName(first.select(F.explode("once").alias("lm")).withColumn("n", F.lit(1).cast("long")))
+    fits = np.zeros(2 + len(weights))
+    for r in first.where("fit IS NOT NULL").select(F.posexplode("fit").alias("at", "value")).groupBy("at").agg(F.sum("value").alias("value")).collect():
+        fits[r["at"]] = r["value"]
+    chosen = mixture.fit(rest, float(fits[0]), float(fits[1]), fits[2:])
     c = F.coalesce("n", F.lit(0))
     base = F.log10(c + 1.0) - F.lit(floor)
     mix = mixture.of(c, F.lit(False), F.lit(0.0), F.col("lm"))
@@ -657,5 +691,5 @@ def score_language(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         plus("known", "known2").alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         plus("base", "base2").alias("base_score"),
-        plus("mix", "mix2").alias("score"),
+        (F.col("mixes")[chosen] + F.coalesce("mix2", F.lit(0))).alias("score"),
     )
