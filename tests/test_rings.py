@@ -5,8 +5,9 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
-from umbra.operators import automata, graph, rasters, rings
+from umbra.operators import automata, chains, graph, rasters, rings
 
 POINTS = "element long, role string, piece long, seq long, x double, y double"
 
@@ -161,3 +162,22 @@ def test_shortest_paths_raise_when_rounds_run_out(spark):
     with pytest.raises(RuntimeError):
         graph.shortest_paths(chain, start, 3)
     assert {r.node: r.cost for r in graph.shortest_paths(chain, start).collect()} == {i: float(i) for i in range(13)}
+
+
+def test_cycles_followed_by_parts_equal_joined(spark):
+    """Rings of 1, 2, 7 and 40 items, a list with an end, in tasks that follow a few links at once; the joined way needs a round for each doubling."""
+    random.seed(5)
+    names = list(range(60))
+    random.shuffle(names)
+    links, at = [], 0
+    for size in (1, 2, 7, 40):
+        ring, at = names[at : at + size], at + size
+        links += [(a, b) for a, b in zip(ring, ring[1:] + ring[:1])]
+    links += [(a, b) for a, b in zip(names[at:], names[at + 1 :])]
+    frame = spark.createDataFrame(links, "a long, b long").selectExpr("struct(a div 10 AS of, a) AS item", "struct(b div 10 AS of, b AS a) AS next")
+    plain = lambda found: sorted((r.item.a, r.ring.a, r.place) for r in found.collect())
+    want = plain(chains.cycles(frame))
+    assert len(want) == 50
+    for at_once in (3, 1000):
+        for near in (lambda item: [item["of"]], lambda item: [F.lit(1)]):
+            assert plain(chains.cycles(frame, near, at_once=at_once)) == want
