@@ -181,3 +181,19 @@ def test_cycles_followed_by_parts_equal_joined(spark):
     for at_once in (3, 1000):
         for near in (lambda item: [item["of"]], lambda item: [F.lit(1)]):
             assert plain(chains.cycles(frame, near, at_once=at_once)) == want
+
+
+def test_masks_are_the_same_across_tiles(spark, monkeypatch):
+    """A mask that lies across four tiles gives what it gives within one; only cells at the rims of tiles are joined by star contraction."""
+    draw = random.Random(11)
+    cells = {(r, c) for r in range(40) for c in range(40) if draw.random() < 0.6} | {(20, c) for c in range(120)} | {(r, c) for r in (0, 60) for c in range(61)} | {(r, c) for r in range(61) for c in (0, 60)}
+    joined, real = [], rings.connected_components
+    monkeypatch.setattr(rings, "connected_components", lambda edges: joined.append(edges.count()) or real(edges))
+
+    def found(dy, dx, least):
+        frame = spark.createDataFrame([(r + dy, c + dx) for r, c in sorted(cells)] * 2, "row int, col int")
+        return sorted((r.component.row - dy, r.component.col - dx, r.ring.y - dy, r.ring.x - dx, r.ring.dir, r.seq, r.x - dx, r.y - dy, r.area) for r in rings.mask_rings(frame, least).collect())
+
+    for least in (1, 3):
+        assert found(rings.TILE - 20, -25, least) == found(1, 1, least)
+    assert joined[1] == joined[3] == 0 and 0 < joined[0] < 150 < len(cells)
