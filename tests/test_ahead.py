@@ -36,6 +36,17 @@ def test_sentences(spark):
     assert got[1] == ["Idź ul. Długą.", "Potem w lewo!", "Koniec"]
 
 
+def test_held_stops_are_looked_for_at_stops_only(spark):
+    """A pattern that begins with a look-behind is tried at every character of a text."""
+    assert text._HELD.startswith(r"\.")
+    cases = ["ul. A", "xul. A", "Ul.\tA. B", "123456789012345678. a b. C", "1234567890123456789. a", "Dnia 15.\n lipca. 7.x", "é. Łódź. ł. Ó", "a.. b", "św.) Tak", "tj.  \n\nNr"]
+    rows = spark.createDataFrame([*enumerate(cases)], "i int, t string")
+    got = {r["i"]: r["s"] for r in rows.select("i", text.sentences(F.col("t")).alias("s")).collect()}
+    old = r"(?:(?<=(?:^|[^\p{L}\d])(?:(?iu:" + "|".join(text.ABBREVIATIONS) + r")|\p{L}))\.|(?<=(?:^|[^\p{L}\d])\d{1,18})\.(?=\s++(?!\p{Lu})))\s+"
+    held = rows.select("i", (F.regexp_replace("t", old, "!") == F.regexp_replace("t", text._HELD, "!")).alias("same")).collect()
+    assert all(r["same"] for r in held) and got[0] == ["ul. A"] and got[1] == ["xul.", "A"]
+
+
 def test_sentences_of_documents(spark):
     sf = "/root/testdata/sf0.001"
     want = {(r["doc_id"], i, s) for r in spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL").collect() for i, s in enumerate(_plain_sentences(r["text"]))}

@@ -139,7 +139,8 @@ def split_instruction(raw: Column) -> tuple[Column, Column]:
 #: Abbreviations after which a full stop ends no sentence.
 ABBREVIATIONS = ("ul", "al", "pl", "os", "np", "św", "ok", "godz", "tzw", "tj", "im", "ks", "dr", "prof", "gen", "min", "in")
 _BEFORE = r"(?:^|[^\p{L}\d])"
-_HELD = rf"(?:(?<={_BEFORE}(?:(?iu:{'|'.join(ABBREVIATIONS)})|\p{{L}}))\.|(?<={_BEFORE}\d{{1,18}})\.(?=\s++(?!\p{{Lu}})))\s+"
+# The full stop comes first: what lies before it is looked at only there.
+_HELD = rf"\.(?=\s)(?:(?<={_BEFORE}(?:(?iu:{'|'.join(ABBREVIATIONS)})|\p{{L}})\.)|(?<={_BEFORE}\d{{1,18}}\.)(?=\s++(?!\p{{Lu}})))\s+"
 
 
 def sentences(text: Column) -> Column:
