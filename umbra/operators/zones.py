@@ -78,10 +78,11 @@ def crown_bases(raster: DataFrame) -> DataFrame:
 def turns(points: DataFrame, part: str, order: list[str]) -> DataFrame:
     """Turn (part, at, angle) at every vertex between the bearings over ``BEARING_M`` before and after it, held to the ends; 0 where either is too short."""
     line = running_length(points, part, order, "x", "y").select(part, F.col("cum").alias("at"), "x", "y").dropDuplicates([part, "at"])
-    ends = line.groupBy(part).agg(F.max("at").alias("end"))
+    # A window instead of a join with the ends: the line is made and shuffled once.
+    line = line.withColumn("end", F.max("at").over(W.partitionBy(part)))
     reach = [F.greatest(F.lit(0.0), F.col("at") - BEARING_M), F.least("end", F.col("at") + BEARING_M)]
     sides = F.explode(F.array(*(F.struct(F.lit(k).alias("side"), w.alias("w")) for k, w in enumerate(reach))))
-    wish = line.join(ends, part).select(part, "at", "x", "y", sides.alias("s")).select(part, "at", "x", "y", "s.side", "s.w")
+    wish = line.select(part, "at", "x", "y", sides.alias("s")).select(part, "at", "x", "y", "s.side", "s.w")
     found = points_at(points, wish.select(part, F.col("w").alias("at")).distinct(), part, order)
     met = wish.join(found.select(part, F.col("at").alias("w"), F.struct("x", "y").alias("p")), [part, "w"])
     both = met.groupBy(part, "at").agg(*(F.min(c).alias(c) for c in "xy"), *(F.min(F.when(F.col("side") == k, F.col("p"))).alias(f"p{k}") for k in (0, 1)))
