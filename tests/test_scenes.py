@@ -85,3 +85,19 @@ def test_step_at(spark):
     rows = spark.createDataFrame([(i, s, a) for i, (s, a, _) in enumerate(cases)], "i int, s array<double>, a double")
     got = {r["i"]: r["n"] for r in rows.select("i", zones.step_at(F.col("s"), F.col("a")).alias("n")).collect()}
     assert [got[i] for i in range(len(cases))] == [n for _, _, n in cases]
+
+
+def test_crowns_that_coincide_are_met_once_and_never_by_dark_rays(spark):
+    trees = [(i, 10.0, 0.0, 6.0, 2.0, False) for i in range(3)] + [(9, 10.0, 0.0, 6.0, 2.0, True)]
+    trees = spark.createDataFrame(trees, "oid long, x double, y double, height double, radius double, evergreen boolean")
+    ring = "array<struct<x:double,y:double>>"
+    bodies = spark.createDataFrame([(1, "building", [(-40.0, 18.0), (40.0, 18.0), (40.0, 22.0), (-40.0, 22.0)], 30.0, 0.0)], f"oid long, kind string, ring {ring}, top double, bottom double")
+    rays = [(1, 0.0, 0.0, math.pi / 2, 0.25, True), (2, 0.0, 0.0, 0.0, 0.25, True)]
+    rays = spark.createDataFrame(rays, "rid long, x double, y double, azimuth double, altitude double, leaf_off boolean")
+    found = scene.exposure(rays, bodies, trees)
+    one = {r.rid: r.exposure for r in scene.exposure(rays, bodies, trees.where("oid = 0")).collect()}
+    last = {r.rid: r.exposure for r in scene.exposure(rays, bodies, trees.where("oid = 9")).collect()}
+    got = {r.rid: r.exposure for r in found.collect()}
+    assert 0.05 < one[1] < 1 and got == pytest.approx({1: max(0.05, one[1] ** 3 * last[1]), 2: 0.0})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "count(1)" in plan

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions.geo import in_ring
 from umbra.operators.spatial import box_cells, cell
+from umbra.shared import stash
 
 #: Longest ray and eye height (m); share of sun that full crowns, canopies from inside and from afar let through, in leaf and without; least share under vegetation.
 MOST_RAY, EYE = 600.0, 1.5
@@ -95,9 +96,14 @@ def exposure(rays: DataFrame, bodies: DataFrame, trees: DataFrame, size: float =
 
     half = F.least(F.col("radius"), F.col("height") / 2)
     crowns = trees.where("radius > 0 AND height > 0").select("oid", F.col("x").alias("tx"), F.col("y").alias("ty"), "radius", (F.col("height") - half).alias("mid"), (F.col("radius") / half).alias("flat"), F.coalesce("evergreen", F.lit(False)).alias("evergreen"))
+    # An object counts once; of a canopy the darker of inside and cast. Crowns that coincide are met once, with their number, and only by rays that no building stops.
+    crowns = crowns.groupBy(*(c for c in crowns.columns if c != "oid")).agg(F.count(F.lit(1)).alias("n"))
+    bodily = crossed.unionByName(within).groupBy("rid", "kind", "oid").agg(F.bool_or("dark").alias("dark"), F.min("ln").alias("ln"))
+    bodily = stash(bodily.groupBy("rid").agg(F.bool_or("dark").alias("dark"), F.sum("ln").alias("ln")), "exposure-bodies")
+    lit = up.join(bodily.where("dark").select("rid"), "rid", "left_anti")
     # Crowns are small and low: finer cells, and rays only up to the tallest tree.
     fine, highest = size / 4, trees.agg(F.max("height").alias("top")).first()["top"] or 0.0
-    low = up.withColumn("reach", F.least("reach", F.greatest(F.lit(0.0), (highest - EYE) / F.col("slope")) + 1e-6))
+    low = lit.withColumn("reach", F.least("reach", F.greatest(F.lit(0.0), (highest - EYE) / F.col("slope")) + 1e-6))
     wide = F.col("radius") + 1e-6
     box = [F.col("tx") - wide, F.col("tx") + wide, F.col("ty") - wide, F.col("ty") + wide]
     ox, oy, oz, dz = F.col("x") - F.col("tx"), F.col("y") - F.col("ty"), (EYE - F.col("mid")) * F.col("flat"), F.col("slope") * F.col("flat")
@@ -106,12 +112,9 @@ def exposure(rays: DataFrame, bodies: DataFrame, trees: DataFrame, size: float =
     far, near = (F.sqrt("disc") - F.col("qb")) / F.col("qa"), F.greatest((-F.sqrt("disc") - F.col("qb")) / F.col("qa"), F.lit(0.0))
     full = F.when(F.col("bare") & ~F.col("evergreen"), math.log(CROWN_BARE)).otherwise(math.log(CROWN))
     entered = (F.col("cx") == cell(F.col("x") + F.col("dx") * near, fine)) & (F.col("cy") == cell(F.col("y") + F.col("dy") * near, fine))
-    crowned = seen.where((far > 0) & (near <= F.col("reach")) & entered).select("rid", (full * (far - near) * F.sqrt("qa") / (2 * F.col("radius"))).alias("ln"))
+    crowned = seen.where((far > 0) & (near <= F.col("reach")) & entered).select("rid", (F.col("n") * (full * (far - near) * F.sqrt("qa") / (2 * F.col("radius")))).alias("ln"))
     crowned = crowned.groupBy("rid").agg(F.lit(False).alias("dark"), F.sum("ln").alias("ln"))
 
-    # An object counts once; of a canopy the darker of inside and cast.
-    once = crossed.unionByName(within).groupBy("rid", "kind", "oid").agg(F.bool_or("dark").alias("dark"), F.min("ln").alias("ln"))
-    once = once.select("rid", "dark", "ln").unionByName(crowned)
-    folded = once.groupBy("rid").agg(F.bool_or("dark").alias("dark"), F.sum("ln").alias("ln"))
+    folded = bodily.unionByName(crowned).groupBy("rid").agg(F.bool_or("dark").alias("dark"), F.sum("ln").alias("ln"))
     share = F.when((F.col("altitude") <= 0) | F.col("altitude").isNull() | F.coalesce("dark", F.lit(False)), 0.0).otherwise(F.greatest(F.lit(LEAST), F.exp(F.coalesce("ln", F.lit(0.0)))))
     return rays.select("rid", "altitude").join(folded, "rid", "left").select("rid", share.alias("exposure"))
